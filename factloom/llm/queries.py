@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup
-from .common import table
+from pyspark.sql import functions as F
+
+from . import bpe, exact_dedup, secrets, warc
+from .common import Scratch, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -34,3 +36,30 @@ def op10_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@_query
+def op4_secret_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.train(secrets.labelled_samples(docs)))
+    many = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", many("assign"), many("access"), many("hex"), F.sha2(secrets.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.listed(F.concat("base", "markov")).alias("spans"))
+
+
+@_query
+def op7_warc(spark, sf_dir):
+    scratch = Scratch(spark)
+    folder = warc.write_archive(table(spark, sf_dir, "pages"), f"{scratch.root}/archive", scratch=scratch)
+    scratch.tidy()
+    return warc.parse_records(warc.read_archive(spark, folder)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op7_warc"] = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM w
+"""
