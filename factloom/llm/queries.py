@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, secrets, warc
-from .common import Scratch, table
+from . import bpe, exact_dedup, language, quality, secrets, warc
+from .common import Scratch, remainder, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -63,3 +63,18 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
 FROM w
 """
+
+
+@_query
+def op1_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.filter(remainder(F.col("doc_id"), 3) != 1))
+    return language.language_id(docs, model, "doc_id", "text", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"))
+
+
+@_query
+def op2_quality(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.filter(remainder(F.col("doc_id"), 5) != 0))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
