@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, quality, secrets, warc
+from . import bpe, exact_dedup, language, quality, secrets, substring, warc
 from .common import Scratch, remainder, table
 
 QUERIES: dict = {}
@@ -78,3 +78,8 @@ def op2_quality(spark, sf_dir):
     model = quality.train(docs, labels.filter(remainder(F.col("doc_id"), 5) != 0))
     scored = quality.score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@_query
+def op3_substring_dedup(spark, sf_dir):
+    return substring.substring_dedup(table(spark, sf_dir, "documents"))
