@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language, quality, secrets, substring, warc
+from . import bpe, exact_dedup, language, neardup, quality, secrets, substring, warc
 from .common import Scratch, remainder, table
 
 QUERIES: dict = {}
@@ -83,3 +83,8 @@ def op2_quality(spark, sf_dir):
 @_query
 def op3_substring_dedup(spark, sf_dir):
     return substring.substring_dedup(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_near_dedup(spark, sf_dir):
+    return neardup.near_dedup(table(spark, sf_dir, "documents"))
