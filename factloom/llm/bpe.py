@@ -80,10 +80,12 @@ class Codec:
         self.whole = {token: i for i, token in enumerate(self.tokens)}
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.memo) + len(words) > self.limit:
+        new = {w for w in words if w not in self.memo}
+        if len(self.memo) + len(new) > self.limit:
             self.memo.clear()
+            new = words
         rest = []
-        for w in words:
+        for w in new:
             raw = w.encode()
             if (i := self.whole.get(raw)) is not None:
                 self.memo[w] = (i,)
@@ -112,7 +114,7 @@ class Codec:
             try:
                 found = list(chain.from_iterable(map(memo.__getitem__, words)))
             except KeyError:
-                self._learn({w for w in words if w not in memo} if len(memo) < self.limit // 2 else set(words))
+                self._learn(set(words))
                 found = list(chain.from_iterable(map(self.memo.__getitem__, words)))
             out += found
         return out
