@@ -95,10 +95,7 @@ class Codec:
             self.memo[w] = tuple(ids)
 
     def _pretokens(self, text: str, step: int = 1 << 16):
-        """Lists of pre-tokens; a long text gives several, so that memory stays bounded."""
-        if len(text) <= 1 << 20:
-            yield self.pattern.findall(text)
-            return
+        """A long text's pre-tokens in several lists, so that memory stays bounded."""
         part = []
         for m in self.pattern.finditer(text):
             part.append(m.group())
@@ -107,17 +104,31 @@ class Codec:
                 part = []
         yield part
 
+    def _ids(self, words: list[str]) -> list[int]:
+        return list(chain.from_iterable(map(self.memo.__getitem__, words)))
+
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for words in self._pretokens(text):
-            memo = self.memo
-            try:
-                found = list(chain.from_iterable(map(memo.__getitem__, words)))
-            except KeyError:
-                self._learn(set(words))
-                found = list(chain.from_iterable(map(self.memo.__getitem__, words)))
-            out += found
-        return out
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts, chars: int = 1 << 19):
+        """The ids of each text in turn. New pre-tokens of about `chars` characters of text are learned in one call."""
+        texts, at = [x or "" for x in texts], 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= chars):
+                size += len(texts[end])
+                end += 1
+            if end - at == 1 and size > 1 << 20:
+                out: list[int] = []
+                for words in self._pretokens(texts[at]):
+                    self._learn(set(words))
+                    out += self._ids(words)
+                yield out
+            else:
+                cut = [self.pattern.findall(x) for x in texts[at:end]]
+                self._learn(set().union(*cut))
+                yield from map(self._ids, cut)
+            at = end
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -142,7 +153,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", o
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
         codec = _codec(name, pattern)
-        return pd.Series([codec.encode(x or "") for x in texts])
+        return pd.Series(list(codec.encode_all(texts)))
 
     return docs.withColumn(out, ids(F.col(text)))
 
@@ -170,8 +181,7 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_i
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def both(texts: pd.Series) -> pd.DataFrame:
         codec, rows = _codec(name, pattern), []
-        for x in texts:
-            ids = codec.encode(x or "")
+        for ids in codec.encode_all(texts):
             rows.append((len(ids), hashlib.sha256(",".join(map(codec.names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
