@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, sized_join
-from .components import connected
 from .substring import U, mix, runs, word_hashes
+from .treejoin import TreeJoin
 
 COORDINATES = 64
 _rnd = np.random.default_rng(42)
@@ -87,80 +87,36 @@ def _profile(trees: int, threshold: float, n: int):
     return profile
 
 
-def _compare(least: int):
-    """A mapInPandas function over rows (node, cid, label, sig) sorted by node: pairs of one node that look alike and have different labels."""
-
-    def pairs(frame: pd.DataFrame) -> pd.DataFrame:
-        node, cid, label = (frame[c].to_numpy(np.int64) for c in ("node", "cid", "label"))
-        sig = np.frombuffer(b"".join(frame["sig"]), np.uint8).reshape(-1, COORDINATES)
-        left, right, lag = [], [], 1
-        at = np.arange(len(node) - 1)
-        while len(at):
-            at = at[at + lag < len(node)]
-            at = at[node[at] == node[at + lag]]
-            for k in range(0, len(at), 1 << 16):
-                i = at[k : k + (1 << 16)]
-                i = i[label[i] != label[i + lag]]
-                i = i[(sig[i] == sig[i + lag]).sum(1) >= least]
-                left.append(cid[i])
-                right.append(cid[i + lag])
-            lag += 1
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-    def compare(batches):
-        rest = None
-        for batch in batches:
-            frame = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            if not len(frame):
-                continue
-            last = frame["node"].to_numpy() == frame["node"].iloc[-1]
-            rest, frame = frame[last], frame[~last].reset_index(drop=True)
-            if len(frame):
-                yield pairs(frame)
-        if rest is not None and len(rest):
-            yield pairs(rest.reset_index(drop=True))
-
-    return compare
-
-
-@F.pandas_udf(T.IntegerType())
-def _agreement(x: pd.Series, y: pd.Series) -> pd.Series:
-    if not len(x):
-        return pd.Series([], dtype="int32")
-    a, b = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, COORDINATES) for v in (x, y))
-    return pd.Series((a == b).sum(1).astype(np.int32))
-
-
 @F.pandas_udf(T.LongType())
 def _shared(x: pd.Series, y: pd.Series) -> pd.Series:
     sets = ((np.frombuffer(a, U), np.frombuffer(b, U)) for a, b in zip(x, y, strict=True))
     return pd.Series([len(np.intersect1d(a, b, assume_unique=True)) for a, b in sets], dtype="int64")
 
 
-class _Join:
-    def __init__(self, rows: DataFrame, scratch: Scratch, percent: int, n: int, trees: int, node_limit: int, most_levels: int, broadcast_rows: int):
-        self.rows, self.scratch, self.percent, self.n = rows, scratch, percent, n
-        self.trees, self.limit, self.levels, self.bound = trees, node_limit, most_levels, broadcast_rows
+def _classes(rows: DataFrame, scratch: Scratch, percent: int, n: int, trees: int) -> tuple[DataFrame, DataFrame]:
+    """Every row with its set's name, and the classes of equal sets, each with the row that stands for it."""
+    k1, k2 = (F.xxhash64(F.lit(i), F.col("text")) for i in (1, 2))
+    base = scratch.keep(rows.select("doc_id", k1.alias("k1"), k2.alias("k2"), _profile(trees, percent / 100, n)("text").alias("p")).select("doc_id", "k1", "k2", "p.*"))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2"))
+    of = base.filter("n_shingles > 0").groupBy("s1", "s2").agg(one.alias("first"), F.min("sig").alias("sig"), F.min("nodes").alias("nodes"))
+    return base, scratch.keep(of.withColumn("cid", F.monotonically_increasing_id()))
+
+
+class _Join(TreeJoin):
+    def __init__(self, rows: DataFrame, scratch: Scratch, classes: DataFrame, percent: int, n: int, broadcast_rows: int, **options):
+        self.rows, self.percent, self.n, self.bound = rows, percent, n, broadcast_rows
         # Links at the threshold agree in so many functions but for one in 100,000 (4.6 standard deviations).
         t = percent / 100
-        self.least = max(1, int(COORDINATES * t - 4.6 * (COORDINATES * t * (1 - t)) ** 0.5))
+        least = max(1, int(COORDINATES * t - 4.6 * (COORDINATES * t * (1 - t)) ** 0.5))
         self.sets: list[DataFrame] = []
+        super().__init__(scratch, classes, lambda x, y: (x == y).sum(1) >= least, **options)
 
-    def classes(self) -> tuple[DataFrame, DataFrame]:
-        k1, k2 = (F.xxhash64(F.lit(i), F.col("text")) for i in (1, 2))
-        seen = self.rows.select("doc_id", k1.alias("k1"), k2.alias("k2"), _profile(self.trees, self.percent / 100, self.n)("text").alias("p")).select("doc_id", "k1", "k2", "p.*")
-        base = self.scratch.keep(seen)
-        one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2"))
-        of = base.filter("n_shingles > 0").groupBy("s1", "s2").agg(one.alias("first"), F.min("n_shingles").alias("n"), F.min("sig").alias("sig"), F.min("nodes").alias("nodes"))
-        return base, self.scratch.keep(of.withColumn("cid", F.monotonically_increasing_id()))
-
-    def load_sets(self, edges: DataFrame, classes: DataFrame) -> DataFrame:
+    def load_sets(self, edges: DataFrame) -> DataFrame:
         """Full sets of the classes of the edges; those loaded before are kept."""
         need = edges.select(F.col("a").alias("cid")).union(edges.select("b")).distinct()
         for known in self.sets:
             need = need.join(known.select("cid"), "cid", "left_anti")
-        need = self.scratch.keep(need.join(classes.select("cid", "first"), "cid").select("cid", F.col("first.doc_id").alias("first_id"), "first.k1", "first.k2"))
+        need = self.scratch.keep(need.join(self.classes.select("cid", "first"), "cid").select("cid", F.col("first.doc_id").alias("first_id"), "first.k1", "first.k2"))
         n, words = need.count(), self.n
 
         @F.pandas_udf("binary")
@@ -175,44 +131,15 @@ class _Join:
             sets = sets.union(more)
         return sets
 
-    def verify(self, edges: DataFrame, classes: DataFrame) -> DataFrame:
+    def verify(self, edges: DataFrame) -> DataFrame:
         """The edges whose full sets are similar enough."""
-        sets = self.load_sets(edges, classes)
+        sets = self.load_sets(edges)
         with_a = edges.join(sets.select(F.col("cid").alias("a"), F.col("hashes").alias("x")), "a")
         both = with_a.join(sets.select(F.col("cid").alias("b"), F.col("hashes").alias("y")), "b")
         measured = both.select("a", "b", (F.octet_length("x") / 8 + F.octet_length("y") / 8).alias("sum"), _shared("x", "y").alias("both"))
         return self.scratch.keep(measured.filter(100 * F.col("both") >= self.percent * (F.col("sum") - F.col("both"))).select("a", "b"))
 
-    def mixed(self, rows: DataFrame, sizes: DataFrame, labels: DataFrame | None) -> DataFrame:
-        """Rows of nodes that hold several components, with their labels."""
-        rows = rows.join(sizes, "node")
-        if labels is None:
-            return rows.withColumn("label", F.col("cid"))
-        rows = self.scratch.keep(rows.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid")))
-        several = rows.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("node")
-        return rows.join(self.scratch.keep(several), "node")
-
-    def blocks(self, large: DataFrame) -> DataFrame:
-        """Rows dealt to all pairs of blocks of their node; each pair of blocks is a node of its own."""
-        own = F.pmod(F.xxhash64("cid"), F.col("count"))
-        cut = large.withColumn("count", F.ceil(F.col("n") / self.limit).cast("long")).withColumn("own", own)
-        pair = F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1))
-        cut = cut.withColumn("other", pair)
-        return cut.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "cid", "label")
-
-    def candidates(self, rows: DataFrame, classes: DataFrame) -> DataFrame:
-        with_sig = rows.join(classes.select("cid", "sig"), "cid").select("node", "cid", "label", "sig")
-        return with_sig.repartition("node").sortWithinPartitions("node").mapInPandas(_compare(self.least), "a long, b long")
-
-    def pivots(self, large: DataFrame, classes: DataFrame) -> DataFrame:
-        weight = self.scratch.keep(large.groupBy("cid").agg(F.sum("n").alias("weight")))
-        best = self.scratch.keep(large.join(weight, "cid").groupBy("node").agg(F.max(F.struct("weight", "cid", "label")).alias("p")).select("node", F.col("p.cid").alias("pivot"), F.col("p.label").alias("pivot_label")))
-        stars = large.join(best, "node").filter("label <> pivot_label").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
-        sig = classes.select("cid", "sig")
-        both = stars.join(sig.select(F.col("cid").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("cid").alias("b"), F.col("sig").alias("y")), "b")
-        return both.filter(_agreement("x", "y") >= self.least).select("a", "b")
-
-    def branch(self, large: DataFrame, classes: DataFrame) -> DataFrame:
+    def branch(self, large: DataFrame) -> DataFrame:
         threshold = self.percent / 100
 
         def children(batches):
@@ -223,32 +150,7 @@ class _Join:
                 every = np.arange(len(node))
                 yield pd.DataFrame({"cid": np.concatenate((cid, cid[second])), "node": np.concatenate((_child(node, one, sig[every, one]), _child(node[second], two[second], sig[every[second], two[second]])))})
 
-        return large.join(classes.select("cid", "sig"), "cid").select("node", "cid", "sig").mapInPandas(children, "cid long, node long")
-
-    def run(self) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-        base, classes = self.classes()
-        keep, drop = self.scratch.keep, self.scratch.drop
-        rows, links, labels = keep(classes.select("cid", F.explode("nodes").alias("node"))), None, None
-        for level in range(1, self.levels + 1):
-            sizes = keep(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-            here = keep(self.mixed(rows, sizes, labels).select("node", "cid", "label", "n"))
-            drop(rows, sizes)
-            large = here.filter(F.col("n") > self.limit)
-            any_large = not large.isEmpty()
-            found = self.candidates(here.filter(F.col("n") <= self.limit).select("node", "cid", "label"), classes)
-            if any_large:
-                found = found.union(self.pivots(large, classes) if level < self.levels else self.candidates(self.blocks(large), classes))
-            edges = keep(found.distinct())
-            if not edges.isEmpty():
-                good = self.verify(edges, classes)
-                links = good if links is None else keep(links.union(good))
-                if not links.isEmpty():
-                    labels = connected(links, self.scratch)
-            if not any_large or level == self.levels:
-                break
-            rows = keep(self.branch(large, classes).distinct())
-            self.scratch.tidy()
-        return base, classes, labels
+        return large.join(self.classes.select("cid", "sig"), "cid").select("node", "cid", "sig").mapInPandas(children, "cid long, node long")
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, percent: int = 75, shingle: int = 5, trees: int = 12, node_limit: int = 100, most_levels: int = 10, broadcast_rows: int = 500_000) -> DataFrame:
@@ -263,7 +165,9 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, p
     """
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    base, classes, labels = _Join(rows, scratch, percent, shingle, trees, node_limit, most_levels, broadcast_rows).run()
+    base, classes = _classes(rows, scratch, percent, shingle, trees)
+    join = _Join(rows, scratch, classes, percent, shingle, broadcast_rows, node_limit=node_limit, most_levels=most_levels)
+    labels = join.run(scratch.keep(classes.select("cid", F.explode("nodes").alias("node"))))
     slim = classes.select("s1", "s2", "cid", F.col("first.doc_id").alias("first_id"))
     if labels is not None:
         slim = scratch.keep(slim.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("s1", "s2", "first_id", F.coalesce("label", "cid").alias("label")))
