@@ -36,12 +36,22 @@ class Scratch:
 
     def keep(self, df: DataFrame, codec: str = "snappy") -> DataFrame:
         path = f"{self.root}/{len(self.paths)}"
-        df.write.option("compression", codec).parquet(path)
+        self.write(df, path, codec)
         kept = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(kept)] = path
         self._held = getattr(self, "_held", []) + [kept]
         return kept
 
+    def write(self, df: DataFrame, path: str, codec: str = "snappy") -> None:
+        """Writes a table; the shuffle files of this one execution go as soon as it has ended."""
+        conf, key = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(key, None)
+        conf.set(key, "true")
+        try:
+            df.write.option("compression", codec).parquet(path)
+        finally:
+            conf.set(key, before) if before is not None else conf.unset(key)
+
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
             path = self.paths[id(df)]

@@ -43,7 +43,7 @@ def write_archive(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     meta = scratch.keep(rows.select(F.monotonically_increasing_id().alias("rid"), "page_id", "url", F.octet_length("payload").cast("long").alias("n"), F.sha1("payload").alias("sha1"), "sha256"))
     # Equal digests are held against each other byte for byte before one copy stands for all.
     same = F.when(F.min("payload") == F.max("payload"), F.min("payload")).otherwise(F.raise_error(F.lit("payloads of one digest differ")).cast("binary"))
-    rows.select("sha256", "payload").groupBy("sha256").agg(same.alias("payload")).write.option("compression", "zstd").parquet(f"{folder}/payloads")
+    scratch.write(rows.select("sha256", "payload").groupBy("sha256").agg(same.alias("payload")), f"{folder}/payloads", "zstd")
     last = meta.filter(F.col("n") >= least_bytes).groupBy("sha256").agg(F.max(F.struct("page_id", "rid")).alias("last"))
     joined = meta.join(scratch.keep(last), "sha256", "left")
     again = F.col("last").isNotNull() & (F.col("last.rid") != F.col("rid"))
@@ -59,7 +59,7 @@ def write_archive(pages: DataFrame, folder: str, page_id: str = "page_id", url:
         ),
         F.lit(END),
     )
-    joined.withColumn("http", http).select(F.encode(head, "utf-8").alias("head"), F.encode("http", "utf-8").alias("http"), "sha256").write.option("compression", "zstd").parquet(f"{folder}/records")
+    scratch.write(joined.withColumn("http", http).select(F.encode(head, "utf-8").alias("head"), F.encode("http", "utf-8").alias("http"), "sha256"), f"{folder}/records", "zstd")
     return folder
 
 
