@@ -13,6 +13,7 @@ import hashlib
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -170,19 +171,19 @@ def decode(tokens: DataFrame, vocabulary: str, pattern: str, ids: str = "ids", o
     return tokens.withColumn(out, back(F.col(ids)))
 
 
-def digests(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, by encoding the whole text and decoding the ids.
+def digests(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_id", text: str = "text", *, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, by encoding the whole text and decoding the ids; ids too if asked for.
 
     Both directions run in one pass, so that the ids needn't travel. A null text counts as empty; null or repeated
     ids, repeated rows and further columns change nothing, each input row gives one row.
     """
     name = ship(docs.sparkSession, vocabulary)
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>")
     def both(texts: pd.Series) -> pd.DataFrame:
         codec, rows = _codec(name, pattern), []
         for ids in codec.encode_all(texts):
-            rows.append((len(ids), hashlib.sha256(",".join(map(codec.names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            rows.append((len(ids), hashlib.sha256(",".join(map(codec.names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest(), np.array(ids, np.int32) if with_ids else None))
+        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), both(F.col(text)).alias("d")).select("doc_id", "d.*")
+    return docs.select(F.col(doc_id).alias("doc_id"), both(F.col(text)).alias("d")).select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256", *(["d.ids"] if with_ids else []))
