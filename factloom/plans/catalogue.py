@@ -33,7 +33,7 @@ WITH p AS (SELECT page_id, url, trim(url) AS u FROM pages),
 c AS (SELECT page_id, url, u, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme,
         regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS net,
         regexp_extract(u, '^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)', 1) AS path,
-        list_sort(list_filter(string_split(regexp_extract(u, '^[^?#]*\?([^#]*)', 1), '&'), x -> x <> '')) AS q FROM p),
+        list_sort(list_filter(string_split(regexp_extract(u, '^[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '')) AS q FROM p),
 k AS (SELECT page_id, url,
         regexp_replace(lower(net), '^www\.', '') AS site, rtrim(path, '/') AS place, array_to_string(q, '&') AS qt FROM c),
 keyed AS (SELECT page_id, url, CASE WHEN place = '' AND qt = '' THEN 'claim:' || page_id
@@ -53,7 +53,7 @@ def url_canonical_key(spark, d):
 
 
 @query(_CUT + r"""SELECT page_id, CASE WHEN scheme IN ('http', 'https') THEN 'https://' || lower(net) || rtrim(path, '/') || CASE WHEN len(f) > 0 THEN '?' || array_to_string(f, '&') ELSE '' END ELSE u END AS source
-FROM (SELECT *, list_filter(q, x -> NOT starts_with(lower(x), 'utm_') AND NOT regexp_matches(x, '^(fbclid|gclid)=') AND NOT regexp_matches(x, '=$') AND contains(x, '=')) AS f FROM c)""")
+FROM (SELECT *, list_filter(q, lambda x: NOT starts_with(lower(x), 'utm_') AND NOT regexp_matches(x, '^(fbclid|gclid)=') AND NOT regexp_matches(x, '=$') AND contains(x, '=')) AS f FROM c)""")
 def url_evidence_canonical(spark, d):
     return _t(spark, d, "pages").select("page_id", urls.evidence_source(F.col("url")).alias("source"))
 
@@ -247,8 +247,7 @@ def _dated(spark, d):
     form = F.when(F.col("o_orderkey") % 6 == 0, F.date_format(at, forms[0]))
     for i, f in enumerate(forms[1:], 1):
         form = form.when(F.col("o_orderkey") % 6 == i, F.date_format(at, f))
-    rows = _t(spark, d, "orders").select("o_orderkey", "o_orderdate", form.otherwise("not a date").alias("raw"))
-    return rows.select("o_orderkey", "o_orderdate", "raw", dates.parse(F.col("raw")).alias("p"))
+    return dates.parse(_t(spark, d, "orders").select("o_orderkey", form.otherwise("not a date").alias("raw")), "raw", "p")
 
 
 @query(f"SELECT o_orderkey, {_FORMS} AS raw, lo AS start_date, hi AS end_date, g AS granularity FROM (SELECT *, {_INTERVAL} FROM orders)")
@@ -288,7 +287,7 @@ def earliest_version(spark, d):
 # Similarity
 
 
-@query("""WITH u AS (SELECT label, list_transform(embedding, x -> x::DOUBLE / sqrt(list_sum(list_transform(embedding, y -> y::DOUBLE * y)))) AS v FROM embeddings),
+@query("""WITH u AS (SELECT label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y)))) AS v FROM embeddings),
 c AS (SELECT label, generate_subscripts(v, 1) AS d, unnest(v) AS x FROM u), m AS (SELECT label, d, avg(x) AS x FROM c GROUP BY ALL),
 n AS (SELECT label, sqrt(sum(x * x)) AS n FROM m GROUP BY label),
 p AS (SELECT a.label AS label, b.label AS other, sum(a.x * b.x) / any_value(na.n * nb.n) AS s FROM m a JOIN m b ON a.d = b.d AND a.label <> b.label JOIN n na ON na.label = a.label JOIN n nb ON nb.label = b.label GROUP BY ALL)
@@ -301,8 +300,8 @@ def near_dup_vectors(spark, d):
     return matching.ranked(scored, ["label"], [F.desc("s"), F.col("other")], 5).select("label", "other", F.round("s", 4).alias("similarity"), "rank")
 
 
-@query("""SELECT a.vec_id AS a, b.vec_id AS b, CAST(list_sum(list_transform(list_zip(a.embedding, b.embedding), z -> CASE WHEN (z[1] > 0) <> (z[2] > 0) THEN 1 ELSE 0 END)) AS INTEGER) AS distance
-FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_sum(list_transform(list_zip(a.embedding, b.embedding), z -> CASE WHEN (z[1] > 0) <> (z[2] > 0) THEN 1 ELSE 0 END)) <= 16""")
+@query("""SELECT a.vec_id AS a, b.vec_id AS b, CAST(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: CASE WHEN (z[1] > 0) <> (z[2] > 0) THEN 1 ELSE 0 END)) AS INTEGER) AS distance
+FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: CASE WHEN (z[1] > 0) <> (z[2] > 0) THEN 1 ELSE 0 END)) <= 16""")
 def hamming_pairs(spark, d):
     return matching.hamming_pairs(_t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), matching.sign_hash(F.col("embedding")).alias("h")), 16)
 
@@ -317,7 +316,7 @@ def exact_phrase_hits(spark, d):
     return matching.phrase_hits(phrases, _t(spark, d, "documents").select("doc_id", text.normalised(F.col("text")).alias("body")))
 
 
-@query(r"""WITH w AS (SELECT doc_id, list_filter(string_split(replace(trim(regexp_replace(coalesce(text, ''), '[ \t\n\x0b\f\r]+', ' ', 'g')), '"', ''), ' '), x -> x <> '') AS w FROM documents)
+@query(r"""WITH w AS (SELECT doc_id, list_filter(string_split(replace(trim(regexp_replace(coalesce(text, ''), '[ \t\n\x0b\f\r]+', ' ', 'g')), '"', ''), ' '), lambda x: x <> '') AS w FROM documents)
 SELECT doc_id, CASE WHEN len(w) >= 4 THEN '"' || array_to_string(w[1:18], ' ') || '"' END AS phrase FROM w""")
 def quoted_phrase(spark, d):
     return _t(spark, d, "documents").select("doc_id", text.quoted_phrase(F.col("text")).alias("phrase"))
@@ -350,7 +349,7 @@ def _sets(spark, d):
 
 @query(_SETS + "SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AS similarity FROM w a JOIN w b ON a.lang = b.lang AND a.k = b.k AND a.doc_id < b.doc_id AND a.k NOT LIKE '% ' WHERE 2 * len(list_intersect(a.w, b.w)) >= len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AND len(a.w) > 0 AND len(b.w) > 0")
 def jaccard_pairs(spark, d):
-    return _sets(spark, d).filter(~F.lit(False)).select("a", "b", text.jaccard(F.col("x"), F.col("y")).alias("similarity")).filter("similarity >= 0.5")
+    return _sets(spark, d).select("a", "b", text.jaccard(F.col("x"), F.col("y")).alias("similarity")).filter("similarity >= 0.5")
 
 
 @query(_SETS + "SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) AS similarity FROM w a JOIN w b ON a.lang = b.lang AND a.k = b.k AND a.doc_id < b.doc_id AND a.k NOT LIKE '% ' WHERE 100 * len(list_intersect(a.w, b.w)) >= 65 * least(len(a.w), len(b.w)) AND len(a.w) > 0 AND len(b.w) > 0")
@@ -358,7 +357,7 @@ def containment_pairs(spark, d):
     return _sets(spark, d).select("a", "b", text.containment(F.col("x"), F.col("y")).alias("similarity")).filter("similarity >= 0.65")
 
 
-@query("SELECT doc_id, at, substr(text, at + 1, 800) AS piece FROM (SELECT doc_id, text, unnest(range(0, length(text), 750)) AS at FROM documents WHERE length(text) > 0)")
+@query('SELECT doc_id, "at", substr(text, "at" + 1, 800) AS piece FROM (SELECT doc_id, text, unnest(range(0, length(text), 750)) AS "at" FROM documents WHERE length(text) > 0)')
 def chunk_800_750(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.explode(text.chunks(F.col("text"))).alias("c")).select("doc_id", F.col("c.at").cast("long").alias("at"), "c.piece")
 
@@ -447,7 +446,7 @@ def verdict_gate(spark, d):
 
 @query("SELECT doc_id AS component, 'quality' AS pillar, CASE quality WHEN 1 THEN 'supports' ELSE 'refutes' END AS stance FROM labels WHERE quality IS NOT NULL UNION ALL SELECT doc_id, 'toxic', CASE toxic WHEN 1 THEN 'refutes' ELSE 'supports' END FROM labels WHERE toxic IS NOT NULL")
 def decision_edges(spark, d):
-    sides = F.array(F.struct(F.lit("quality").alias("pillar"), F.col("quality").alias("v"), F.lit(1).alias("good")), F.struct(F.lit("toxic"), F.col("toxic"), F.lit(0)))
+    sides = F.array(F.struct(F.lit("quality").alias("pillar"), F.col("quality").alias("v"), F.lit(1).alias("good")), F.struct(F.lit("toxic").alias("pillar"), F.col("toxic").alias("v"), F.lit(0).alias("good")))
     rows = _t(spark, d, "labels").select(F.col("doc_id").alias("component"), F.explode(sides).alias("e")).filter("e.v IS NOT NULL")
     return rows.select("component", "e.pillar", F.when(F.col("e.v") == F.col("e.good"), "supports").otherwise("refutes").alias("stance"))
 
