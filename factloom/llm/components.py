@@ -5,25 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, sized_join
 
 
-def connected(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", most_rounds: int = 60, broadcast_rows: int = 250_000) -> DataFrame:
     """(node, label) for every node of an edge; label: the smallest node of its component.
 
     A round takes the smallest label among neighbours and then the label of that label; each round is a written
     table, so no lineage grows. Rounds needed grow as the logarithm of the diameter in practice; if they should not
-    suffice an error is raised rather than a wrong result given.
+    suffice an error is raised rather than a wrong result given. Labels of at most `broadcast_rows` nodes are broadcast.
     """
     both = scratch.keep(edges.select(F.col(a).alias("node"), F.col(b).alias("other")).union(edges.select(F.col(b), F.col(a))).distinct())
     labels = scratch.keep(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")))
+    n = labels.count()
     for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        met = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        met = scratch.keep(met)
+        near = sized_join(both, labels.select(F.col("node").alias("other"), "label"), "other", "inner", n, broadcast_rows).groupBy("node").agg(F.min("label").alias("near"))
+        met = sized_join(near, labels, "node", "inner", n, broadcast_rows).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        met = scratch.keep(met) if n > broadcast_rows else met
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = scratch.keep(met.join(up, "label").select("node", F.least("label", "up").alias("label"), (F.least("label", "up") != F.col("old")).alias("moved")))
-        scratch.drop(met, labels)
+        new = scratch.keep(sized_join(met, up, "label", "inner", n, broadcast_rows).select("node", F.least("label", "up").alias("label"), (F.least("label", "up") != F.col("old")).alias("moved")))
+        scratch.drop(labels, *([met] if n > broadcast_rows else []))
         labels = new
         if new.filter("moved").isEmpty():
             scratch.drop(both)

@@ -109,7 +109,7 @@ class _Join(TreeJoin):
         t = percent / 100
         least = max(1, int(COORDINATES * t - 4.6 * (COORDINATES * t * (1 - t)) ** 0.5))
         self.sets: list[DataFrame] = []
-        super().__init__(scratch, classes, lambda x, y: (x == y).sum(1) >= least, **options)
+        super().__init__(scratch, classes, lambda x, y: (x == y).sum(1) >= least, small_rows=min(broadcast_rows, 250_000), **options)
 
     def load_sets(self, edges: DataFrame) -> DataFrame:
         """Full sets of the classes of the edges; those loaded before are kept."""
@@ -150,7 +150,7 @@ class _Join(TreeJoin):
                 every = np.arange(len(node))
                 yield pd.DataFrame({"cid": np.concatenate((cid, cid[second])), "node": np.concatenate((_child(node, one, sig[every, one]), _child(node[second], two[second], sig[every[second], two[second]])))})
 
-        return large.join(self.classes.select("cid", "sig"), "cid").select("node", "cid", "sig").mapInPandas(children, "cid long, node long")
+        return self.signed(large).select("node", "cid", "sig").mapInPandas(children, "cid long, node long")
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, percent: int = 75, shingle: int = 5, trees: int = 12, node_limit: int = 100, most_levels: int = 10, broadcast_rows: int = 500_000) -> DataFrame:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, sized_join
 from .components import connected
 
 
@@ -60,8 +60,18 @@ def _compare(alike):
 class TreeJoin:
     """classes: (cid, sig, ...), sig being bytes of one length. alike: of two arrays of signatures, which rows look alike."""
 
-    def __init__(self, scratch: Scratch, classes: DataFrame, alike, *, node_limit: int, most_levels: int):
+    def __init__(self, scratch: Scratch, classes: DataFrame, alike, *, node_limit: int, most_levels: int, small_rows: int = 250_000):
         self.scratch, self.classes, self.alike, self.limit, self.levels = scratch, classes, alike, node_limit, most_levels
+        self.small = small_rows
+        self.sigs, self.many = classes.select("cid", "sig"), classes.count()
+
+    def join(self, big: DataFrame, kept: DataFrame, on: str, how: str = "inner") -> DataFrame:
+        """A join with a kept table of narrow rows, which is broadcast if it has at most `small_rows` rows."""
+        return sized_join(big, kept, on, how, kept.count(), self.small)
+
+    def signed(self, rows: DataFrame, on: str = "cid", sig: str = "sig") -> DataFrame:
+        """The rows with the signature of the class that column `on` names."""
+        return sized_join(rows, self.sigs.select(F.col("cid").alias(on), F.col("sig").alias(sig)), on, "inner", self.many, self.small)
 
     def verify(self, edges: DataFrame) -> DataFrame:
         """The links (a, b) among the edges, as a kept table."""
@@ -73,12 +83,12 @@ class TreeJoin:
 
     def mixed(self, rows: DataFrame, sizes: DataFrame, labels: DataFrame | None) -> DataFrame:
         """Rows of nodes that hold several components, with their labels."""
-        rows = rows.join(sizes, "node")
+        rows = self.join(rows, sizes, "node")
         if labels is None:
             return rows.withColumn("label", F.col("cid"))
-        rows = self.scratch.keep(rows.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid")))
+        rows = self.scratch.keep(self.join(rows, labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid")))
         several = rows.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("node")
-        return rows.join(self.scratch.keep(several), "node")
+        return self.join(rows, self.scratch.keep(several), "node")
 
     def blocks(self, large: DataFrame) -> DataFrame:
         """Rows dealt to all pairs of blocks of their node; each pair of blocks is a node of its own."""
@@ -88,14 +98,14 @@ class TreeJoin:
         return cut.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "cid", "label")
 
     def candidates(self, rows: DataFrame) -> DataFrame:
-        with_sig = rows.join(self.classes.select("cid", "sig"), "cid").select("node", "cid", "label", "sig")
+        with_sig = self.signed(rows).select("node", "cid", "label", "sig")
         return with_sig.repartition("node").sortWithinPartitions("node").mapInPandas(_compare(self.alike), "a long, b long")
 
     def pivots(self, large: DataFrame) -> DataFrame:
         weight = self.scratch.keep(large.groupBy("cid").agg(F.sum("n").alias("weight")))
-        best = large.join(weight, "cid").groupBy("node").agg(F.max(F.struct("weight", "cid", "label")).alias("p"))
+        best = self.join(large, weight, "cid").groupBy("node").agg(F.max(F.struct("weight", "cid", "label")).alias("p"))
         best = self.scratch.keep(best.select("node", F.col("p.cid").alias("pivot"), F.col("p.label").alias("pivot_label")))
-        stars = large.join(best, "node").filter("label <> pivot_label").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
+        stars = self.join(large, best, "node").filter("label <> pivot_label").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
         alike = self.alike
 
         @F.pandas_udf("boolean")
@@ -104,8 +114,7 @@ class TreeJoin:
                 return pd.Series([], dtype=bool)
             return pd.Series(alike(*(np.frombuffer(b"".join(v), np.uint8).reshape(len(x), -1) for v in (x, y))))
 
-        sig = self.classes.select("cid", "sig")
-        both = stars.join(sig.select(F.col("cid").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("cid").alias("b"), F.col("sig").alias("y")), "b")
+        both = self.signed(self.signed(stars, "a", "x"), "b", "y")
         return both.filter(close("x", "y")).select("a", "b")
 
     def run(self, rows: DataFrame) -> DataFrame | None:
