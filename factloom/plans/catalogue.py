@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import dates, text, urls
+from ..functions import dates, sources, text, urls
 from ..operators import evidence, matching, rules, splits
+from ..sources import records
+from ..streaming import earliest
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -464,3 +466,48 @@ def even_sample(spark, d):
 def page_title_meta(spark, d):
     pick = lambda tag: F.regexp_extract("html", rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1)
     return _t(spark, d, "pages").select("page_id", F.nullif(F.trim(pick("title")), F.lit("")).alias("title"), F.nullif(F.trim(F.regexp_replace(pick("h1"), "<[^>]+>", " ")), F.lit("")).alias("heading"), F.contains(F.col("html"), F.lit("<article")).alias("has_article"))
+
+
+# Sources, framing and geocoding, over stated cases: (inputs ..., expected); the SQL states the expected rows
+
+
+def _cases(name: str, inputs: str, output: str, rows: list[tuple], compute):
+    """Registers a query over stated inputs; its SQL gives the rows that must come out."""
+
+    def show(v):
+        return "NULL" if v is None else str(v).upper() if isinstance(v, bool) else f"{v}::DOUBLE" if isinstance(v, float) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+
+    columns = [x.split()[0] for x in inputs.split(", ")]
+
+    def run(spark, d):
+        given = spark.createDataFrame([r[: len(columns)] for r in rows], inputs)
+        return given.select(*columns, compute(*(F.col(c) for c in columns)).alias(output))
+
+    QUERIES[name] = run
+    ORACLES[name] = f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) v({', '.join(columns)}, {output})"
+
+
+_cases("source_normalize", "name string", "publisher", [("AFP", "agence france presse"), ("The Guardian", "guardian"), ("https://www.reuters.com/", "www"), ("Café & Co (@cafe)", "cafe and co"), ("@NYTimes", "new york times"), ("", ""), ("Unknown Blog", "unknown blog")], sources.publisher)
+_cases("source_match", "a string, b string", "same", [("AFP", "Agence France-Presse", True), ("YouTube", "Vimeo", False), ("Some Blog", "SomeBlog", True), ("a b", "ab", False), ("", "", False)], sources.same_source)
+_cases("uploader_from_url", "url string", "account", [("https://www.youtube.com/@name/videos", "name"), ("https://youtube.com/channel/UC1", "UC1"), ("https://www.facebook.com/watch/?v=1", None), ("https://m.facebook.com/page.name/posts/1", "page.name"), ("https://x.com/user/status/1", "@user"), ("https://x.com/i/status/1", None), ("ftp://x.com/user", None), ("https://example.com/user", None)], sources.uploader)
+_cases("location_contrast", "text string", "contrast", [("filmed in Brazil, not the United States", "United States > Brazil"), ("not Paris but Berlin", "Paris > Berlin"), ("in the park", None), ("", None)], lambda t: F.concat(rules.place_contrast(t)["claimed"], F.lit(" > "), rules.place_contrast(t)["verified"]))
+_cases(
+    "motivation_rules", "context string, mismatch string, framed string, protected boolean, source_type string, compared int, overlap double", "result",
+    [("satire", "satire as real", "x", False, "unknown", 0, 0.0, "satire as real"), ("news report", "satire as real", "x", False, "unknown", 0, 0.0, None), ("bad", "old news as current", "x", True, "unknown", -1, 0.0, "old news as current"), ("bad", "old news as current", "x", True, "unknown", 0, 0.0, None), ("archive", "same", "x", False, "unknown", 0, 0.3, "same"), ("archive", "same", "x", False, "unknown", 0, 0.2, None), ("unknown", "political reframing", "x", False, "unknown", 0, 0.0, None), ("archive", "unknown", " ", False, "unknown", 0, 0.0, None), ("bad", "unknown", "x", False, "satire source", 0, 0.0, "unknown")],
+    lambda *c: rules.framing(*c)[1],
+)
+_cases(
+    "geocode_score", "importance double, asked string, names string, display string, target boolean", "score",
+    [(0.5, "paris", "paris|france", "paris france", True, 11.0), (0.25, "par", "paris", "paris texas", False, 3.25), (None, "rome", "paris", "paris", False, 0.0)],
+    lambda i, a, n, s, t: rules.geocode_score(i, a, F.split(n, "[|]"), s, F.split(a, ","), F.array(F.lit("spain")), t),
+)
+
+
+@query("SELECT user_id, event_type, min(ts) AS first_seen FROM events GROUP BY ALL")
+def earliest_seen(spark, d):
+    return earliest.first_seen(_t(spark, d, "events"), ["user_id", "event_type"], "ts")
+
+
+@query("SELECT doc_id, lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def selected_scan(spark, d):
+    return records.selected(_t(spark, d, "documents").select("doc_id", "lang", "source"), _t(spark, d, "labels").filter("quality = 1").select("doc_id"), "doc_id")
