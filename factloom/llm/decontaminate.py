@@ -18,20 +18,20 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def words(text: Column) -> Column:
-    """Hashes of the words, in lower case and without ASCII punctuation; null counts as empty."""
+    """The words, in lower case and without ASCII punctuation; null counts as empty. A text without words has one empty word."""
     bare = F.translate(F.lower(F.coalesce(text.cast("string"), F.lit(""))), PUNCTUATION, "")
-    return F.transform(F.filter(F.split(bare, f"[{WHITE}]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+    return F.split(F.btrim(bare, F.lit(WHITE)), f"[{WHITE}]+")
 
 
-def _seeds(h: Column, masks: list[str]) -> list[Column]:
-    """For each mask the seeds of all places in order. The mask's number is part of the seed."""
+def _seeds(docs: DataFrame, masks: list[str]) -> DataFrame:
+    """Rows (..., w, at, m, seed): the seed of mask m at each place of w.
 
-    def one(m: int, mask: str) -> Column:
-        n = F.size(h) - (len(mask) - 1)
-        places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.xxhash64(F.lit(m), *(F.get(h, i + k) for k, c in enumerate(mask) if c == "1")))
-
-    return [one(m, mask) for m, mask in enumerate(masks)]
+    Places are exploded first and seeds computed on the rows, as that compiles to one loop, which functions over arrays
+    don't.
+    """
+    placed = docs.withColumn("n", F.size("w")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    one = lambda m, mask: F.when(F.col("at") + len(mask) <= F.col("n"), F.xxhash64(F.lit(m), *(F.get("w", F.col("at") + k) for k, c in enumerate(mask) if c == "1")))
+    return placed.select(*docs.columns, "at", F.posexplode(F.array(*(one(m, mask) for m, mask in enumerate(masks)))).alias("m", "seed"))
 
 
 def find_overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", *, masks: tuple[str, ...] = MASKS, window: int = 13, substitutions: int = 3, least_words: int = 5, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -44,28 +44,15 @@ def find_overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     Null texts have no words. Rows that repeat an id, null included, are taken together. Other columns are ignored;
     empty tables give an empty result.
     """
-    tests = items.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("ih")).filter(F.size("ih") >= least_words)
-    spans = {len(m) for m in masks}
+    tests = items.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("w")).filter(F.size("w") >= least_words)
     # Lengths of items too short for the masks: fewer than there are words in a mask.
-    short = sorted(r[0] for r in tests.filter(F.size("ih") < max(spans)).select(F.size("ih")).distinct().collect())
+    short = sorted(r[0] for r in tests.filter(F.size("w") < max(map(len, masks))).select(F.size("w")).distinct().collect())
     every = [*masks, *("1" * n for n in short)]
-
-    def tagged(m: int, seeds: Column) -> Column:
-        wanted = F.lit(True) if m < len(masks) else F.size("ih") == len(every[m])
-        found = F.transform(seeds, lambda s, i: F.struct(s.alias("seed"), F.lit(m).alias("m"), i.alias("at")))
-        return F.when(wanted, found).otherwise(F.array().cast("array<struct<seed:bigint,m:int,at:int>>"))
-
-    index = tests.select("item_id", "ih", F.explode(F.concat(*(tagged(m, s) for m, s in enumerate(_seeds(F.col("ih"), every))))).alias("s")).select("item_id", "ih", "s.*")
+    wanted = (F.col("m") < len(masks)) | (F.size("w") == F.get(F.array(*(F.lit(len(x)) for x in every)), F.col("m")))
+    index = _seeds(tests, every).filter(F.col("seed").isNotNull() & wanted).select("item_id", F.col("w").alias("ih"), F.col("at").alias("item_at"), "seed")
     rows = index.count()
-    hashed = docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("h"))
-    places = hashed.select("doc_id", "h", F.posexplode(F.concat(*_seeds(F.col("h"), every))).alias("pos", "seed"))
-    met = sized_join(places, index, "seed", "inner", rows, broadcast_rows)
-    room = [F.greatest(F.size("h") - (len(mask) - 1), F.lit(0)) for mask in every]
-    start, offsets = F.lit(0), []
-    for r in room:
-        offsets.append(start)
-        start = start + r
-    diagonal = met.withColumn("shift", F.col("pos") - F.get(F.array(*offsets), F.col("m")) - F.col("at"))
+    places = _seeds(docs.select(F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w")), every).select("doc_id", F.col("w").alias("h"), "at", "seed")
+    diagonal = sized_join(places, index, "seed", "inner", rows, broadcast_rows).withColumn("shift", F.col("at") - F.col("item_at"))
     n = F.size("ih")
     agree = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.when(F.get(F.col("h"), F.col("shift") + j) == F.get(F.col("ih"), j), 1).otherwise(0))
     agree = diagonal.select("doc_id", "item_id", agree.alias("agree"))
