@@ -4,6 +4,9 @@ A mask such as 1110110011 picks some of ten consecutive words and ignores the ot
 exchanged at the ignored places. Every item's seeds, at all its places and for all masks, are joined with the seeds of
 every place of every training text. Around a hit the two texts are laid side by side along the hit's diagonal, and
 the hit counts if within some window nearly all words agree. All of it is Spark SQL expressions within one scan.
+
+Seeds miss some overlaps with several exchanged words. find_all_overlaps() looks for unharmed runs of words instead: of
+four parts of a window at least one is free of three exchanged words, so no overlap is missed.
 """
 
 from __future__ import annotations
@@ -11,16 +14,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, sized_join
+from .common import WHITE, Scratch, sized_join
 
 MASKS = ("1110110011", "1101011101", "1011101101")
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def words(text: Column) -> Column:
-    """Hashes of the words, in lower case and without ASCII punctuation; null counts as empty."""
+def split_words(text: Column) -> Column:
+    """The words, in lower case and without ASCII punctuation; null counts as empty."""
     bare = F.translate(F.lower(F.coalesce(text.cast("string"), F.lit(""))), PUNCTUATION, "")
-    return F.transform(F.filter(F.split(bare, f"[{WHITE}]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+    return F.array_remove(F.split(bare, f"[{WHITE}]+"), "")
+
+
+def words(text: Column) -> Column:
+    """Hashes of the words."""
+    return F.transform(split_words(text), lambda w: F.xxhash64(w))
 
 
 def _seeds(h: Column, masks: list[str]) -> list[Column]:
@@ -77,6 +85,62 @@ def find_overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     return good.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_hits"), F.max("best").alias("best_window"), F.max("n").alias("n_words"))
 
 
+def _run(width: int, window: int, substitutions: int) -> int:
+    """So many words in a row are unharmed in any window of `width` words that overlaps."""
+    return width // (width * substitutions // window + 1)
+
+
+def find_all_overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", *, window: int = 13, substitutions: int = 3, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """doc_id, item_id, n_hits, best_window, n_words: one row for each document and item that overlap.
+
+    They overlap if for some shift a window of `window` words of the item agrees with the text but for at most
+    `substitutions` words; what lies outside the text does not agree. An item shorter than the window is its own
+    window, with proportionally fewer substitutions, none below five words. An item without words overlaps with
+    nothing. n_hits counts the equal runs of words (three for items of a whole window) on such shifts, best_window the
+    agreeing words of the best window, n_words those of the best shift. Null texts have no words. Rows that repeat an
+    id, null included, are taken together. Other columns are ignored; empty tables give an empty result.
+    """
+    if not 0 <= substitutions < window:
+        raise ValueError("a window needs more words than substitutions")
+    scratch = Scratch(docs.sparkSession)
+    tests = items.select(F.col(item_id).alias("item_id"), split_words(F.col(item_text)).alias("iw")).filter(F.size("iw") > 0)
+    tests = scratch.keep(tests.withColumn("item", F.monotonically_increasing_id()).withColumn("width", F.least(F.size("iw"), F.lit(window))))
+    runs: dict[int, list[int]] = {}
+    for (width,) in tests.select("width").distinct().collect():
+        runs.setdefault(_run(width, window, substitutions), []).append(width)
+    names = [F.xxhash64(F.lit(i), F.coalesce(F.col(text).cast("string"), F.lit(""))).alias(f"k{i}") for i in (1, 2)]
+    named = docs.select(F.col(doc_id).alias("doc_id"), *names, F.col(text).alias("text"))
+
+    def places(rows: DataFrame, column: str, n: int, *own: str) -> DataFrame:
+        # The places are exploded before they are hashed, which is compiled; the words are left behind at once.
+        seed = F.xxhash64(F.lit(n), *(F.get(F.col(column), F.col("pos") + j) for j in range(n)))
+        out = rows.select(*own, column, F.posexplode(column).alias("pos", "word")).filter(F.col("pos") <= F.size(column) - n)
+        return out.select(*own, "pos", seed.alias("seed"))
+
+    hits = None
+    for n, widths in sorted(runs.items()):
+        index = scratch.keep(places(tests.filter(F.col("width").isin(widths)), "iw", n, "item").withColumnRenamed("pos", "at"))
+        spots = places(named.select("doc_id", "k1", "k2", split_words(F.col("text")).alias("w")), "w", n, "doc_id", "k1", "k2")
+        met = sized_join(spots, index, "seed", "inner", index.count(), broadcast_rows).select("doc_id", "k1", "k2", "item", (F.col("pos") - F.col("at")).alias("shift"))
+        hits = met if hits is None else hits.union(met)
+    if hits is None:
+        hits = named.select("doc_id", "k1", "k2", F.lit(0).cast("long").alias("item"), F.lit(0).alias("shift")).limit(0)
+    shifts = hits.groupBy("doc_id", "k1", "k2", "item", "shift").agg(F.count(F.lit(1)).alias("n"))
+    shifts = scratch.keep(shifts.groupBy("k1", "k2", F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("item", "shift", "n")).alias("met")))
+    again = sized_join(named, shifts, ["k1", "k2"], "inner", shifts.count(), broadcast_rows // 10).filter(F.col("doc_id").eqNullSafe(F.col("d")))
+    again = again.dropDuplicates(["k1", "k2", "d"]).select("doc_id", split_words(F.col("text")).alias("w"), "met")
+    laid = again.select("doc_id", "w", F.explode("met").alias("m")).select("doc_id", "w", "m.*")
+    laid = sized_join(laid, tests, "item", "inner", tests.count(), broadcast_rows // 10)
+    agree = F.transform(F.sequence(F.lit(0), F.size("iw") - 1), lambda j: F.when(F.get(F.col("w"), F.col("shift") + j) == F.get(F.col("iw"), j), 1).otherwise(0))
+    agree = laid.select("doc_id", "item_id", "n", "width", agree.alias("agree"))
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
+    least = F.col("width") - F.floor(F.col("width") * substitutions / window)
+    counted = agree.withColumn("all", total(F.col("agree"))).filter(F.col("all") >= least)
+    best = F.array_max(F.transform(F.sequence(F.lit(0), F.size("agree") - F.col("width")), lambda j: total(F.slice("agree", j + 1, F.col("width")))))
+    good = counted.withColumn("best", best).filter(F.col("best") >= least)
+    return good.groupBy("doc_id", "item_id").agg(F.sum("n").alias("n_hits"), F.max("best").alias("best_window"), F.max("all").alias("n_words"))
+
+
 def remove_overlapping(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", *, broadcast_rows: int = 1_000_000) -> DataFrame:
     """The documents without those in `found`, a kept table; rows that repeat an id, null included, share its fate."""
     ids = found.select(F.col("doc_id").alias("__gone")).distinct()

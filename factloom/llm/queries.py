@@ -92,7 +92,7 @@ def op6_near_dedup(spark, sf_dir):
 
 @_query
 def op5_decontaminate(spark, sf_dir):
-    return decontaminate.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.find_all_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 @_query

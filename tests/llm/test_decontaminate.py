@@ -1,7 +1,7 @@
 import random
 import re
 
-from factloom.llm.decontaminate import MASKS, PUNCTUATION, find_overlaps, remove_overlapping
+from factloom.llm.decontaminate import MASKS, PUNCTUATION, find_all_overlaps, find_overlaps, remove_overlapping
 
 
 def cut(text):
@@ -62,3 +62,43 @@ def test_equals_brute_force(spark):
 def test_empty_tables(spark):
     d, t = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert find_overlaps(d, t).collect() == [] and find_overlaps(d.limit(0), t.withColumn("text", t.text)).collect() == []
+
+
+def plain(docs, items, window=13, substitutions=3):
+    """{(doc_id, item_id): (best_window, n_words)} at all shifts, without seeds."""
+    out = {}
+    for doc_id, text in docs:
+        d = cut(text)
+        for item_id, body in items:
+            w = cut(body)
+            width = min(window, len(w))
+            for shift in range(-len(w), len(d)) if w else ():
+                agree = [0 <= shift + k < len(d) and d[shift + k] == x for k, x in enumerate(w)]
+                best = max(sum(agree[k : k + width]) for k in range(len(w) - width + 1))
+                if best >= width - width * substitutions // window:
+                    b, t = out.get((doc_id, item_id), (0, 0))
+                    out[doc_id, item_id] = max(b, best), max(t, sum(agree))
+    return out
+
+
+def test_all_overlaps_equal_those_at_all_shifts(spark):
+    rnd = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(200)]
+    items = [(n, " ".join(rnd.choices(vocabulary, k=n))) for n in [30, 16, 13, 12, 11, 10, 9, 8, 7, 6, 5, 4, 3, 2, 1]] + [(50, None), (51, ""), (52, "same " * 13)]
+    docs = []
+    for i in range(160):
+        body = rnd.choices(vocabulary, k=rnd.randrange(0, 40))
+        source = cut(items[i % 15][1])
+        for at in rnd.sample(range(len(source)), min(len(source), i // 15 % 5)):
+            source[at] = "x"
+        at = rnd.randrange(len(body) + 1)
+        body[at:at] = source
+        docs.append((i, " ".join(body)))
+    docs += [(200, None), (201, ""), (202, "same " * 40), (203, items[2][1]), (203, items[2][1]), (None, items[0][1]), (None, items[3][1])]
+    d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    expected = plain(docs, items)
+    for bound in (1_000_000, 0):
+        got = find_all_overlaps(d, t, broadcast_rows=bound).collect()
+        assert len(got) == len(expected) and {(r.doc_id, r.item_id): (r.best_window, r.n_words) for r in got} == expected
+    assert len(expected) > len({r[:2] for r in brute(docs, items)}) + 20
+    assert find_all_overlaps(d.limit(0), t).collect() == [] and find_all_overlaps(d, t.limit(0)).collect() == []
