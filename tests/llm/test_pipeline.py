@@ -53,3 +53,17 @@ def test_run_equals_brute_force(spark, tmp_path):
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     for i, t in rows:
         assert list(got[i].ids) == encoding.encode_ordinary(t or "") and got[i].n_tokens == len(got[i].ids)
+
+
+def test_rows_without_ids_or_with_equal_ones_are_judged_each_by_itself(spark, tmp_path):
+    rnd = random.Random(5)
+    text = [" ".join(rnd.choices([f"w{i}" for i in range(900)], k=40)) for _ in range(8)]
+    spark.createDataFrame([(1, text[7])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(3, text[0]), (2, text[0] + " end"), (None, text[0]), (None, text[1]), (None, text[2]), (None, text[2] + " end"), (4, text[3]), (4, text[3]), (4, text[4]), (None, None), (None, text[5] + " " + text[7]), (4, text[7] + " " + text[6])]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    left = corpus_pipeline.no_near_copies(spark, docs, str(tmp_path))
+    got = [(r.doc_id, r.text) for r in left.collect()]
+    one = [x for x in got if x in rows[4:6]]
+    assert len(one) == 1 and sorted([x for x in got if x not in one], key=repr) == sorted([rows[1], rows[3], rows[6], rows[8], rows[9], rows[10], rows[11]], key=repr)
+    clean = corpus_pipeline.no_benchmarks(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns and sorted(((r.doc_id, r.text) for r in clean.collect()), key=repr) == sorted(rows[:10], key=repr)
