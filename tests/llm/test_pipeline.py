@@ -10,7 +10,9 @@ import corpus_pipeline
 from factloom.llm import quality
 
 from .test_decontaminate import brute as leaks
+from .test_decontaminate import plain as all_leaks
 from .test_fuzzy_lines import brute as lines
+from .test_fuzzy_lines import plain as all_lines
 from .test_neardup import brute as near
 
 
@@ -67,3 +69,33 @@ def test_rows_without_ids_or_with_equal_ones_are_judged_each_by_itself(spark, tm
     assert len(one) == 1 and sorted([x for x in got if x not in one], key=repr) == sorted([rows[1], rows[3], rows[6], rows[8], rows[9], rows[10], rows[11]], key=repr)
     clean = corpus_pipeline.no_benchmarks(spark, docs, str(tmp_path))
     assert clean.columns == docs.columns and sorted(((r.doc_id, r.text) for r in clean.collect()), key=repr) == sorted(rows[:10], key=repr)
+
+
+def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
+    docs, labels, items = corpus()
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").limit(0)
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, d, str(tmp_path))
+        assert out.collect() == [] and (k == len(corpus_pipeline.STAGES) - 1 or out.columns == d.columns)
+
+
+def test_run_over_a_small_corpus_equals_brute_force(spark, tmp_path):
+    docs, labels, items = corpus()
+    docs = [r for r in docs if r[0] % 200 < 40 or r[0] >= 900]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, df in (("documents", d), ("labels", spark.createDataFrame(labels, "doc_id long, quality int")), ("benchmark", spark.createDataFrame(items, "item_id long, text string"))):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    model = quality.train(d, spark.createDataFrame(labels, "doc_id long, quality int"))
+    before = {i: t for i, t, *_ in docs if model.quality(t) >= corpus_pipeline.LEAST_QUALITY}
+    rows = [(i, t) for i, t in all_lines(list(before.items())) if not ((t or "") != (before[i] or "") and not (t or "").split())]
+    rows = [(i, dict(rows)[i]) for i, _, _, kept in near(rows) if kept]
+    gone = {i for i, _ in all_leaks(rows, items)}
+    rows = [(i, t) for i, t in rows if i not in gone]
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert gone and len(before) < len(docs) and len(rows) > 20
+    assert got == {i: encoding.encode_ordinary(t or "") for i, t in rows}
