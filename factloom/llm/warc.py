@@ -97,3 +97,11 @@ def parse_records(records: DataFrame) -> DataFrame:
         F.when(number("WARC-Refers-To") != "", number("WARC-Refers-To")).cast("long").alias("refers_to"),
         (F.col("verified") & whole & (_header(head, "WARC-Payload-Digest") == F.concat(F.lit("sha1:"), digest))).alias("verified"),
     )
+
+
+def whole_records(parsed: DataFrame) -> DataFrame:
+    """The rows of parse_records(), of which every one must be verified: reading one that is not, or whose record is missing, raises an error."""
+    text = F.concat(F.lit("record is not what was archived, page_id "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))
+    # The condition is a part of each row's digest, so no choice of columns that has it can leave the check out.
+    checked = F.when(F.coalesce("verified", F.lit(False)), F.col("payload_digest")).otherwise(F.raise_error(text).cast("string"))
+    return parsed.withColumn("payload_digest", checked)

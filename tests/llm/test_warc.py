@@ -1,7 +1,10 @@
 import hashlib
 import uuid
 
+import pytest
+
 from factloom.llm import warc
+from factloom.llm.queries import QUERIES
 
 BIG = "<p>é</p>" * 300
 
@@ -26,3 +29,19 @@ def test_round_trip(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.parse_records(warc.read_archive(spark, warc.write_archive(df, f"file://{tmp_path}/a"))).collect() == []
+
+
+def test_query_refuses_an_archive_that_fails_verification(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "u", BIG), (2, "v", "small"), (3, "w", BIG)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert len(QUERIES["op7_warc"](spark, str(tmp_path)).collect()) == 3
+    write = warc.write_archive
+
+    def damaged(pages, folder, **options):
+        write(pages, f"{folder}-whole", **options)
+        spark.read.parquet(f"{folder}-whole/records").write.parquet(f"{folder}/records")
+        spark.read.parquet(f"{folder}-whole/payloads").selectExpr("sha256", "CASE WHEN length(payload) < 9 THEN CAST('smell' AS BINARY) ELSE payload END AS payload").write.parquet(f"{folder}/payloads")
+        return folder
+
+    monkeypatch.setattr(warc, "write_archive", damaged)
+    with pytest.raises(Exception, match="page_id 2"):
+        QUERIES["op7_warc"](spark, str(tmp_path)).collect()
