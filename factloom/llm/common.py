@@ -34,27 +34,33 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.paths = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", {}
 
-    def keep(self, df: DataFrame, codec: str = "snappy") -> DataFrame:
-        path = f"{self.root}/{len(self.paths)}"
-        self.write(df, path, codec)
+    def keep(self, df: DataFrame, codec: str = "snappy", text_rows: int | None = None) -> DataFrame:
+        """Writes a table and gives it back as read. With `text_rows`, batches for Python have so many rows at most."""
+        self.made = getattr(self, "made", 0) + 1
+        path = f"{self.root}/{self.made}"
+        self.write(df, path, codec, text_rows)
         kept = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(kept)] = path
         self._held = getattr(self, "_held", []) + [kept]
         return kept
 
-    def write(self, df: DataFrame, path: str, codec: str = "snappy") -> None:
+    def write(self, df: DataFrame, path: str, codec: str = "snappy", text_rows: int | None = None) -> None:
         """Writes a table; the shuffle files of this one execution go as soon as it has ended."""
-        conf, key = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = conf.get(key, None)
-        conf.set(key, "true")
+        conf, own = self.spark.conf, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+        if text_rows:
+            own["spark.sql.execution.arrow.maxRecordsPerBatch"] = str(text_rows)
+        before = {k: conf.get(k, None) for k in own}
+        for k, v in own.items():
+            conf.set(k, v)
         try:
             df.write.option("compression", codec).parquet(path)
         finally:
-            conf.set(key, before) if before is not None else conf.unset(key)
+            for k, v in before.items():
+                conf.set(k, v) if v is not None else conf.unset(k)
 
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
-            path = self.paths[id(df)]
+            path = self.paths.pop(id(df))
             jvm = self.spark.sparkContext._jvm
             place = jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

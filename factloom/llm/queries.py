@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, fuzzy_lines, language, neardup, quality, secrets, substring, warc
+from . import bpe, decontaminate, exact_dedup, language, line_dedup, neardup, quality, secrets, substring, warc
 from .common import Scratch, remainder, table
 
 QUERIES: dict = {}
@@ -97,5 +97,5 @@ def op5_decontaminate(spark, sf_dir):
 
 @_query
 def op8_fuzzy_lines(spark, sf_dir):
-    done = fuzzy_lines.fuzzy_line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), tables=64, least_words=1)
+    done = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
