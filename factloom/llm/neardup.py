@@ -73,8 +73,8 @@ def _profile(trees: int, threshold: float, n: int):
     @F.pandas_udf("n_shingles long, s1 long, s2 long, sig binary, nodes array<long>")
     def profile(texts: pd.Series) -> pd.DataFrame:
         rows = []
-        for at in range(0, len(texts), 256):
-            for s in shingle_sets(list(texts.iloc[at : at + 256]), n):
+        for at in range(0, len(texts), 64):
+            for s in shingle_sets(list(texts.iloc[at : at + 64]), n):
                 if not len(s):
                     rows.append((0, None, None, None, None))
                     continue
@@ -96,7 +96,7 @@ def _shared(x: pd.Series, y: pd.Series) -> pd.Series:
 def _classes(rows: DataFrame, scratch: Scratch, percent: int, n: int, trees: int) -> tuple[DataFrame, DataFrame]:
     """Every row with its set's name, and the classes of equal sets, each with the row that stands for it."""
     k1, k2 = (F.xxhash64(F.lit(i), F.col("text")) for i in (1, 2))
-    base = scratch.keep(rows.select("doc_id", k1.alias("k1"), k2.alias("k2"), _profile(trees, percent / 100, n)("text").alias("p")).select("doc_id", "k1", "k2", "p.*"))
+    base = scratch.keep(rows.select("doc_id", k1.alias("k1"), k2.alias("k2"), _profile(trees, percent / 100, n)("text").alias("p")).select("doc_id", "k1", "k2", "p.*"), text_rows=512)
     one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2"))
     of = base.filter("n_shingles > 0").groupBy("s1", "s2").agg(one.alias("first"), F.min("sig").alias("sig"), F.min("nodes").alias("nodes"))
     return base, scratch.keep(of.withColumn("cid", F.monotonically_increasing_id()))
@@ -121,11 +121,11 @@ class _Join(TreeJoin):
 
         @F.pandas_udf("binary")
         def full(texts: pd.Series) -> pd.Series:
-            return pd.Series([s.tobytes() for at in range(0, len(texts), 256) for s in shingle_sets(list(texts.iloc[at : at + 256]), words)], dtype=object)
+            return pd.Series([s.tobytes() for at in range(0, len(texts), 64) for s in shingle_sets(list(texts.iloc[at : at + 64]), words)], dtype=object)
 
         texts = self.rows.select("doc_id", "text", F.xxhash64(F.lit(1), F.col("text")).alias("k1"), F.xxhash64(F.lit(2), F.col("text")).alias("k2"))
         found = sized_join(texts, need, ["k1", "k2"], "inner", n, self.bound).filter(F.col("doc_id").eqNullSafe(F.col("first_id")))
-        self.sets.append(self.scratch.keep(found.dropDuplicates(["cid"]).select("cid", full("text").alias("hashes"))))
+        self.sets.append(self.scratch.keep(found.dropDuplicates(["cid"]).select("cid", full("text").alias("hashes")), text_rows=512))
         sets = self.sets[0]
         for more in self.sets[1:]:
             sets = sets.union(more)
