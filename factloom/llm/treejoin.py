@@ -1,8 +1,10 @@
 """The part that similarity joins over trees of nodes have in common.
 
-Items sit in nodes, an item in several. Items of a small node are compared by their signatures; in a large node all
-are compared with one pivot, the item that sits in the fullest nodes. What looks alike is verified, verified links form
-components, and a large node goes on only while it holds several components. What is still large and mixed at the
+Items sit in nodes, an item in several. First each item is compared with the pivots that it meets most often, a node's
+pivot being the item that sits in the fullest nodes: so a group of many like items costs links by their number, not by
+their pairs. Then items of a small node that are still apart are compared by their signatures; in a large node all
+are compared with its pivot. What looks alike is verified, verified links form components, and a large node goes on
+only while it holds several components. What is still large and mixed at the
 last level is compared in blocks. So no node is listed pair by pair unless it is small or can't be told apart
 otherwise, and no pair is dropped for its node's size.
 """
@@ -101,11 +103,16 @@ class TreeJoin:
         with_sig = self.signed(rows).select("node", "cid", "label", "sig")
         return with_sig.repartition("node").sortWithinPartitions("node").mapInPandas(_compare(self.alike), "a long, b long")
 
-    def pivots(self, large: DataFrame) -> DataFrame:
+    def pivots(self, large: DataFrame, few: int | None = None) -> DataFrame:
+        """Pairs (a, b) that look alike of a node's items and its pivot; with `few` each item's most frequent pivots only."""
         weight = self.scratch.keep(large.groupBy("cid").agg(F.sum("n").alias("weight")))
         best = self.join(large, weight, "cid").groupBy("node").agg(F.max(F.struct("weight", "cid", "label")).alias("p"))
         best = self.scratch.keep(best.select("node", F.col("p.cid").alias("pivot"), F.col("p.label").alias("pivot_label")))
-        stars = self.join(large, best, "node").filter("label <> pivot_label").select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
+        met = self.join(large, best, "node").filter("label <> pivot_label")
+        if few:
+            met = met.groupBy("cid", "pivot").agg(F.count(F.lit(1)).alias("times")).groupBy("cid").agg(F.slice(F.sort_array(F.collect_list(F.struct("times", "pivot")), False), 1, few).alias("p"))
+            met = met.select("cid", F.explode("p.pivot").alias("pivot"))
+        stars = met.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
         alike = self.alike
 
         @F.pandas_udf("boolean")
@@ -126,8 +133,17 @@ class TreeJoin:
         links, labels = None, None
         for level in range(1, self.levels + 1):
             sizes = keep(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+            if level == 1:
+                met = keep(self.join(rows, sizes, "node").withColumn("label", F.col("cid")))
+                first = keep(self.pivots(met, 2))
+                if not first.isEmpty():
+                    links = self.verify(first)
+                    labels = None if links.isEmpty() else connected(links, self.scratch)
+                drop(met, first)
             here = keep(self.mixed(rows, sizes, labels).select("node", "cid", "label", "n"))
             drop(rows, sizes)
+            if here.isEmpty():
+                break
             large = here.filter(F.col("n") > self.limit)
             any_large = not large.isEmpty()
             found = self.candidates(here.filter(F.col("n") <= self.limit).select("node", "cid", "label"))
