@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .urls import host, path, scheme
+from .urls import NO_ACCOUNT, host, path, scheme
 
 #: Publishers by canonical name, with the names they also go by.
 PUBLISHERS = {
@@ -31,11 +31,6 @@ PUBLISHERS = {
     "al jazeera": ["aljazeera", "al jazeera"],
     "today": ["today", "today show", "the today show"],
 }
-#: First steps of a path that name no account.
-NO_ACCOUNT = {
-    "facebook": ["video", "videos", "watch", "reel", "share", "groups", "pages", "plugins", "login", "profile.php", "story.php", "permalink.php", "l.php"],
-    "x": ["i", "status", "intent", "share", "home", "search", "explore", "hashtag", "login"],
-}
 #: Latin letters with marks and their base letters; a marked letter outside this list counts as a separator.
 MARKED, BARE = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēėęěğīįłńňōőřśşšťūůűųźżž", "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeeegiilnnoorssstuuuuzzz"
 
@@ -53,7 +48,7 @@ def plain_name(name: Column) -> Column:
 def publisher(name: Column) -> Column:
     """The canonical publisher of a name, else the plain name without a leading `the`."""
     t = F.regexp_replace(plain_name(name), r"^the\s+", "")
-    table = F.create_map(*(F.lit(x) for canonical, names in PUBLISHERS.items() for alias in {*names, canonical} for x in (alias, canonical)))
+    table = F.create_map(*(F.lit(x) for canonical, names in PUBLISHERS.items() for alias in sorted({*names, canonical}) for x in (alias, canonical)))
     return F.coalesce(F.try_element_at(table, t), t)
 
 

@@ -8,9 +8,18 @@ from pyspark.sql import functions as F
 from ..functions.text import normalised
 
 
+#: The types of evidence that can decide.
+DECISIVE = ["retrieved_page", "platform_metadata", "archive_record", "geocoder_result"]
+
+
 def _quoted(text: Column) -> Column:
-    """A JSON string literal, non-ASCII characters kept."""
-    return F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    """A JSON string literal, non-ASCII characters kept, control characters escaped."""
+    t = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    plain = t
+    for code in range(32):
+        short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}.get(code, f"\\u{code:04x}")
+        t = F.replace(t, F.lit(chr(code)), F.lit(short))
+    return F.concat(F.lit('"'), F.when(text.rlike(r"[\x00-\x1f]"), t).otherwise(plain), F.lit('"'))
 
 
 def identity(source: Column, text: Column) -> Column:
@@ -18,6 +27,12 @@ def identity(source: Column, text: Column) -> Column:
     return F.concat(F.lit("ev-"), F.substring(F.sha2(F.concat(F.lit("["), _quoted(source), F.lit(", "), _quoted(normalised(text)), F.lit("]")).cast("binary"), 256), 1, 16))
 
 
+def labelled_identity(kind: Column, source: Column, observation: Column, model: Column) -> Column:
+    """The type with dashes and 10 hex digits of the SHA-256 of the JSON array of type, source, observation and model."""
+    parts = F.concat(F.lit("["), _quoted(kind), F.lit(", "), _quoted(source), F.lit(", "), _quoted(observation), F.lit(", "), F.coalesce(_quoted(model), F.lit("null")), F.lit("]"))
+    return F.concat(F.replace(kind, F.lit("_"), F.lit("-")), F.lit("-"), F.substring(F.sha2(parts.cast("binary"), 256), 1, 10))
+
+
 def dedup(items: DataFrame, keys: list[str], order: str, verified: str, values: list[str]) -> DataFrame:
     """One row for each key at the place of its first item; values come from the first verified item, if any, else from the first.
 
@@ -30,7 +45,31 @@ def dedup(items: DataFrame, keys: list[str], order: str, verified: str, values:
 
 
 def valid_citations(citations: DataFrame, evidence: DataFrame, decisive: bool) -> DataFrame:
-    """Distinct citations (evidence_id, quote) whose quote of 8 characters or more stands in the evidence; decisive ones need verified evidence."""
+    """Distinct citations (evidence_id, quote) whose quote of 8 characters or more stands in the evidence.
+
+    Decisive ones need verified evidence, of a type in DECISIVE where the evidence has a column `type`.
+    """
     quote = F.trim("quote")
-    met = citations.filter(F.char_length(quote) >= 8).join(evidence, "evidence_id").filter(F.contains(normalised(F.col("text")), normalised(quote)))
-    return (met.filter("verified") if decisive else met).select("evidence_id", quote.alias("quote")).distinct()
+    held = evidence.filter("verified") if decisive else evidence
+    held = held.filter(F.col("type").isin(DECISIVE)) if decisive and "type" in evidence.columns else held
+    met = citations.filter(F.char_length(quote) >= 8).join(held, "evidence_id").filter(F.contains(normalised(F.col("text")), normalised(quote)))
+    return met.select("evidence_id", quote.alias("quote")).distinct()
+
+
+def without_type(evidence: DataFrame, links: DataFrame, kind: str, claim: str = "claim_id") -> tuple[DataFrame, DataFrame]:
+    """Evidence and field links after all evidence of one type is taken out; a field whose links are all gone has none."""
+    gone = evidence.filter(F.col("type") == kind).select(claim, "evidence_id")
+    return evidence.filter(F.coalesce(F.col("type") != kind, F.lit(True))), links.join(gone, [claim, "evidence_id"], "left_anti")
+
+
+def packed(items: DataFrame, by: str, order: list[str], size: str, budget: int) -> DataFrame:
+    """The items that are taken in order while they fit a budget: one that doesn't fit is left out, later smaller ones may follow.
+
+    A claim's items are folded within its row, in order; they are as many as one prompt can be offered.
+    """
+    rows = items.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(size).cast("long").alias("__size")))).alias("all"))
+    fits = lambda state, x: state["used"] + x["__size"] <= budget
+    empty = F.filter("all", lambda x: F.lit(False))
+    step = lambda state, x: F.struct(F.when(fits(state, x), state["used"] + x["__size"]).otherwise(state["used"]).alias("used"), F.when(fits(state, x), F.concat(state["kept"], F.array(x))).otherwise(state["kept"]).alias("kept"))
+    folded = rows.select(by, F.aggregate("all", F.struct(F.lit(0).cast("long").alias("used"), empty.alias("kept")), step, lambda state: state["kept"]).alias("kept"))
+    return folded.select(by, F.posexplode("kept").alias("place", "item")).select(by, "place", *(F.col(f"item.{c}").alias(c) for c in order))
