@@ -137,7 +137,7 @@ class _Join(TreeJoin):
         with_a = edges.join(sets.select(F.col("cid").alias("a"), F.col("hashes").alias("x")), "a")
         both = with_a.join(sets.select(F.col("cid").alias("b"), F.col("hashes").alias("y")), "b")
         measured = both.select("a", "b", (F.octet_length("x") / 8 + F.octet_length("y") / 8).alias("sum"), _shared("x", "y").alias("both"))
-        return self.scratch.keep(measured.filter(100 * F.col("both") >= self.percent * (F.col("sum") - F.col("both"))).select("a", "b"))
+        return self.scratch.keep(measured.filter(100 * F.col("both") >= self.percent * (F.col("sum") - F.col("both"))).select("a", "b"), text_rows=500)
 
     def branch(self, large: DataFrame) -> DataFrame:
         threshold = self.percent / 100
