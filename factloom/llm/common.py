@@ -15,10 +15,13 @@ WHITE = " \t\n\x0b\x0c\r"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where no such setting exists (tests, a single machine) is a folder under /tmp used and set.
+    Only on a single machine, where the master is local, a folder under /tmp is used and set if there is no such
+    setting; on a cluster that raises an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = "file:///tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -27,12 +30,15 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """Tables written in the shared folder, to cut lineage and to keep what is used more than once.
 
-    They live on shared storage, so a lost executor takes none of them along. drop() deletes a table
-    that nothing reads any more.
+    They live on shared storage, so a lost executor takes none of them along. drop() deletes a table that nothing reads
+    any more, close() all of them. What a lazy result still reads has to stay until it is written: the folder is deleted
+    when the driver's process ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.paths = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", {}
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
 
     def keep(self, df: DataFrame, codec: str = "snappy", text_rows: int | None = None) -> DataFrame:
         """Writes a table and gives it back as read. With `text_rows`, batches for Python have so many rows at most."""
@@ -65,6 +71,12 @@ class Scratch:
             place = jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
+    def close(self) -> None:
+        """Deletes all tables, once nothing reads them any more."""
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        self.paths.clear()
+
     def tidy(self) -> None:
         """Lets Spark delete the shuffle files of finished steps, which it does when the driver collects garbage."""
         gc.collect()

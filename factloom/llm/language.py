@@ -20,24 +20,31 @@ BITS = 15
 
 @lru_cache(maxsize=1)
 def _letter_table() -> np.ndarray:
-    """Whether a code point is a letter; those from U+32000 on count as none."""
-    return np.array([chr(i).isalpha() for i in range(0x32000)] + [False])
+    """Whether a code point is a letter."""
+    return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
 def trigrams(text: str, chunk: int = 1 << 20):
-    """Bucket numbers of the trigrams of letters and single spaces, in pieces that bound the memory."""
-    letters = _letter_table()
-    for at in range(0, len(text), chunk):
-        points = np.frombuffer(text[max(at - 2, 0) : at + chunk].lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        is_letter = letters[np.minimum(points, len(letters) - 1)]
+    """Bucket numbers of the trigrams of letters and single spaces, in pieces that bound the memory.
+
+    Pieces hang together: each begins with the last two signs of the one before, and only the text's own ends are padded.
+    """
+    letters, low = _letter_table(), text.lower()
+    rest, inside = np.array([32], np.uint32), False
+    for at in range(0, len(low), chunk):
+        points = np.frombuffer(low[at : at + chunk].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        is_letter = letters[points]
         points = np.where(is_letter, points, np.uint32(32))
         before = np.empty_like(is_letter)
-        before[0], before[1:] = False, is_letter[:-1]
-        points = points[is_letter | before]
-        if len(points):
-            points = np.concatenate(([np.uint32(32)], points, [np.uint32(32)])) if points[-1] != 32 else np.concatenate(([np.uint32(32)], points))
+        before[0], before[1:] = inside, is_letter[:-1]
+        inside = bool(is_letter[-1])
+        points = np.concatenate((rest, points[is_letter | before]))
+        if at + chunk >= len(low) and points[-1] != 32:
+            points = np.append(points, np.uint32(32))
+        if len(points) > 2:
             mixed = points[:-2] * np.uint32(0x9E3779B1) ^ points[1:-1] * np.uint32(0x85EBCA77) ^ points[2:] * np.uint32(0xC2B2AE3D)
             yield (mixed * np.uint32(0x27D4EB2F) >> np.uint32(32 - BITS)).astype(np.int64)
+        rest = points[-2:]
 
 
 class Model:
@@ -88,7 +95,7 @@ class Model:
         return float(total(np.log(mix))), share, mix
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", *, most_languages: int = 1024, **options) -> Model:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", *, most_languages: int = 256, **options) -> Model:
     """Counts over all rows with a language; rows with a null language or text are left out.
 
     Each task sends one row for a language and bucket it has met; the sums have at most languages x 2^15 rows, which

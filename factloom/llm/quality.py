@@ -9,6 +9,7 @@ curve fitted to the training documents.
 from __future__ import annotations
 
 import math
+import zlib
 from functools import lru_cache
 from operator import eq
 
@@ -31,12 +32,10 @@ def _classes() -> np.ndarray:
     return table
 
 
-def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Features (lines x WIDTH) and weights of all lines of a text; a null or empty text is one empty line."""
-    text = text or ""
-    lines = text.split("\n")
+def _own_features(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features (lines x OWN) of the lines themselves, and their lengths."""
     n = len(lines)
-    points = np.frombuffer((text + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    points = np.frombuffer(("\n".join(lines) + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     kinds = _classes()[np.minimum(points, 0xFFFF)]
     lengths = np.fromiter(map(len, lines), np.int64, n)
     starts = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
@@ -62,31 +61,70 @@ def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     own[:, 10] = lengths == 0
     own[:, 11] = words[:, 0] == 1
     own[:, 12] = (own[:, 4] > 0.15) | (own[:, 8] > 0.2) | (own[:, 2] > 0.5)
+    return own, lengths
+
+
+def _with_neighbours(own: np.ndarray, first: bool, last: bool, start: int, end: int) -> np.ndarray:
+    """Features of the rows start to end of `own`, with those of the rows before and after."""
+    n = end - start
     x = np.zeros((n, WIDTH))
-    x[:, :OWN] = own
-    x[1:, OWN : 2 * OWN] = own[:-1]
-    x[:-1, 2 * OWN : 3 * OWN] = own[1:]
-    x[0, -2] = x[-1, -1] = 1
-    return x, np.maximum(lengths, 1).astype(np.float64)
+    x[:, :OWN] = own[start:end]
+    x[start == 0 :, OWN : 2 * OWN] = own[max(start - 1, 0) : end - 1]
+    x[: n - (end == len(own)), 2 * OWN : 3 * OWN] = own[start + 1 : end + 1]
+    x[0, -2] += first
+    x[-1, -1] += last
+    return x
+
+
+def blocks_of_features(text: str | None, block: int = 20_000, chars: int = 1 << 20):
+    """(features, weights) of a text's lines, some thousand at a time, so that memory is bounded; a null or empty text is one empty line."""
+    lines = (text or "").split("\n")
+    at = 0
+    while at < len(lines):
+        end, size = at, 0
+        while end < len(lines) and end - at < block and (end == at or size + len(lines[end]) <= chars):
+            size += len(lines[end]) + 1
+            end += 1
+        low, high = max(at - 1, 0), min(end + 1, len(lines))
+        own, lengths = _own_features(lines[low:high])
+        yield _with_neighbours(own, at == 0, end == len(lines), at - low, end - low), np.maximum(lengths[at - low : end - low], 1).astype(np.float64)
+        at = end
+
+
+def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Features (lines x WIDTH) and weights of all lines of a text; a null or empty text is one empty line."""
+    parts = list(blocks_of_features(text))
+    return tuple(np.concatenate([p[i] for p in parts]) for i in (0, 1))
 
 
-def marginals(score: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """P(good) of each line, by the forward-backward algorithm. score: log weight of good; moves[a, b]: of b after a."""
+def marginals(score: np.ndarray, moves: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """P(good) of each line, by the forward-backward algorithm. score: log weight of good; moves[a, b]: of b after a.
+
+    Numbers of Python are made for `block` lines at a time.
+    """
     (bb, bg), (gb, gg) = np.exp(moves).tolist()
-    odds = np.exp(np.clip(score, -30, 30)).tolist()
-    ahead, p = [], 0.5
-    for t, o in enumerate(odds):
-        good, bad = (o, 1.0) if t == 0 else (o * (p * gg + (1 - p) * bg), p * gb + (1 - p) * bb)
-        p = good / (good + bad)
-        ahead.append(p)
-    out, back = [0.0] * len(odds), 0.5
-    for t in range(len(odds) - 1, -1, -1):
-        good, bad = ahead[t] * back, (1 - ahead[t]) * (1 - back)
-        out[t] = good / (good + bad) if good + bad else ahead[t]
-        g, b = odds[t] * back, 1 - back
-        good, bad = gg * g + gb * b, bg * g + bb * b
-        back = good / (good + bad)
-    return np.array(out)
+    odds = np.exp(np.clip(score, -30, 30))
+    out, p, first = np.empty(len(odds)), 0.5, True
+    for at in range(0, len(odds), block):
+        ahead = []
+        for o in odds[at : at + block].tolist():
+            good, bad = (o, 1.0) if first else (o * (p * gg + (1 - p) * bg), p * gb + (1 - p) * bb)
+            first = False
+            p = good / (good + bad)
+            ahead.append(p)
+        out[at : at + block] = ahead
+    back = 0.5
+    for at in range((len(odds) - 1) // block * block, -1, -block):
+        ahead, weight = out[at : at + block].tolist(), odds[at : at + block].tolist()
+        for t in range(len(ahead) - 1, -1, -1):
+            p = ahead[t]
+            good, bad = p * back, (1 - p) * (1 - back)
+            ahead[t] = good / (good + bad) if good + bad else p
+            g, b = weight[t] * back, 1 - back
+            good, bad = gg * g + gb * b, bg * g + bb * b
+            back = good / (good + bad)
+        out[at : at + block] = ahead
+    return out
 
 
 class Crf:
@@ -96,11 +134,12 @@ class Crf:
         self.weights, self.moves, self.slope, self.offset = weights, moves, slope, offset
 
     def lines(self, text: str | None) -> np.ndarray:
-        return marginals(line_features(text)[0] @ self.weights, self.moves)
+        return marginals(np.concatenate([x @ self.weights for x, _ in blocks_of_features(text)]), self.moves)
 
     def raw(self, text: str | None) -> float:
-        x, w = line_features(text)
-        return float(marginals(x @ self.weights, self.moves) @ w / w.sum())
+        parts = [(x @ self.weights, w) for x, w in blocks_of_features(text)]
+        score, w = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        return float(marginals(score, self.moves) @ w / w.sum())
 
     def curve(self, p: float) -> float:
         p = min(max(p, 1e-6), 1 - 1e-6)
@@ -185,12 +224,13 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray, int]], *, rounds: int = 120,
     return Crf(model.weights, moves, float(a), float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", *, train_docs: int = 3000, most_lines: int = 5000, **options) -> Crf:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", *, train_docs: int = 3000, train_lines: int = 200, **options) -> Crf:
     """Fits the field to about `train_docs` labelled documents, chosen by a hash of the id.
 
     The bound is on what the model is fitted to. At most twice as many labels are broadcast, to find their texts
-    in the one scan. Labels that are null are left out; of repeated labels of a document the largest counts; a
-    document of more than `most_lines` lines isn't trained on.
+    in the one scan, and of a document of more than `train_lines` lines a stretch of so many, at a place given by the
+    text's hash: in all no more than 2 * train_docs * train_lines rows of features (200 MB) reach the driver. Labels
+    that are null are left out; of repeated labels of a document the largest counts.
     """
     rows = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
     share = min(1.0, train_docs / max(rows.count(), 1))
@@ -199,8 +239,13 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     def features(batches):
         for batch in batches:
-            got = [(*line_features(t), y) for t, y in zip(batch["text"], batch["label"], strict=True) if (t or "").count("\n") < most_lines]
-            yield pd.DataFrame({"x": [x.astype(np.float32).tobytes() for x, _, _ in got], "w": [w.tobytes() for _, w, _ in got], "y": [y for *_, y in got]})
+            got = []
+            for t, y in zip(batch["text"], batch["label"], strict=True):
+                lines = (t or "").split("\n")
+                at = zlib.crc32((t or "").encode("utf-8", "surrogatepass")) % max(len(lines) - train_lines + 1, 1)
+                x, w = line_features("\n".join(lines[at : at + train_lines]))
+                got.append((x.astype(np.float32).tobytes(), w.tobytes(), y))
+            yield pd.DataFrame(got, columns=["x", "w", "y"])
 
     found = texts.mapInPandas(features, "x binary, w binary, y int").collect()
     return fit([(np.frombuffer(r.x, np.float32).reshape(-1, WIDTH).astype(np.float64), np.frombuffer(r.w), r.y) for r in found], **options)

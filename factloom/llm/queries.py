@@ -51,7 +51,7 @@ def op7_warc(spark, sf_dir):
     scratch = Scratch(spark)
     folder = warc.write_archive(table(spark, sf_dir, "pages"), f"{scratch.root}/archive", scratch=scratch)
     scratch.tidy()
-    return warc.whole_records(warc.parse_records(warc.read_archive(spark, folder))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.whole_records(warc.parse_records(warc.read_archive(spark, folder, scratch=scratch))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLES["op7_warc"] = r"""

@@ -29,13 +29,23 @@ def _places(text: Column, pattern: str, kind: str, order: int, keep=None) -> Col
     hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
     at = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda gap, hit: F.struct(F.char_length(gap).alias("gap"), F.char_length(hit).alias("n"), hit.alias("hit")))
 
+    kind_of = "array<struct<start:int,order:int,end:int,kind:string,hit:string>>"
+    none = F.array().cast(kind_of)
+
     def step(done: Column, x: Column) -> Column:
         start = done["at"] + x["gap"]
         span = F.struct(start.alias("start"), F.lit(order).alias("order"), (start + x["n"]).alias("end"), F.lit(kind).alias("kind"), x["hit"].alias("hit"))
         return F.struct((start + x["n"]).alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
 
-    none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string,hit:string>>")
-    spans = F.aggregate(at, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda done: done["spans"])
+    # Matches are summed up in blocks of about the root of their number, then the blocks: appending to one long array
+    # would copy it for every match.
+    width = F.ceil(F.sqrt(F.size(at))).cast("int") + 1
+    starts = F.sequence(F.lit(1), F.greatest(F.size(at), F.lit(1)), width)
+    blocks = F.transform(starts, lambda i: F.aggregate(F.slice(at, i, width), F.struct(F.lit(0).alias("at"), none.alias("spans")), step))
+    moved = lambda done, b: F.struct((done["at"] + b["at"]).alias("at"), F.concat(done["to"], F.array(done["at"])).alias("to"))
+    shifts = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("to")), moved, lambda done: done["to"])
+    shift = lambda s, by: F.struct((s["start"] + by).alias("start"), s["order"].alias("order"), (s["end"] + by).alias("end"), s["kind"].alias("kind"), s["hit"].alias("hit"))
+    spans = F.flatten(F.zip_with(blocks, shifts, lambda b, by: F.transform(b["spans"], lambda s: shift(s, by))))
     return F.when(F.rlike(text, F.lit(pattern)), F.filter(spans, keep) if keep else spans).otherwise(none)
 
 
@@ -107,7 +117,7 @@ def scan(docs: DataFrame, model: list[float], doc_id: str = "doc_id", text: str
     rows = rows.select("doc_id", "text", F.array_sort(F.concat(*base_spans(F.col("text")))).alias("base"))
     free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     odd = lambda s: _score(s["hit"], values) >= least_ratio * F.char_length(s["hit"])
-    return rows.select("doc_id", "base", _places(F.col("text"), CANDIDATE, "markov", 3, lambda s: free(s) & odd(s)).alias("markov"))
+    return rows.select("doc_id", "base", _places(F.col("text"), CANDIDATE, "markov", 3, lambda s: odd(s) & free(s)).alias("markov"))
 
 
 def listed(spans: Column) -> Column:

@@ -65,13 +65,26 @@ def _hash_piece(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U)), start
 
 
-def word_hashes(texts: list[bytes], piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def _hash_long(raw: bytes, start: int, end: int, piece: int) -> np.ndarray:
+    """The hash of the one word in raw[start:end], taken piece by piece."""
+    _, values = _tables()
+    up, _ = _powers(1 << max(16, piece.bit_length()))
+    base, total = int(up[1]), 0
+    for at in range(start, end, piece):
+        data = np.frombuffer(raw, np.uint8, min(piece, end - at), at)
+        total += int((values[data] * up[: len(data)]).sum(dtype=U)) * pow(base, at - start, 1 << 64)
+    return mix(np.array([(total + end - start) % (1 << 64)], U))
+
+
+def word_hashes(texts: list[bytes], piece: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts in order, and the number of words of each text.
 
-    Texts are hashed together in pieces, long ones cut at white space, so that memory stays bounded.
+    Texts are hashed together in pieces, long ones cut at white space and a word longer than a piece within itself, so
+    that memory stays bounded.
     """
     hashes, counts = [], np.zeros(len(texts), np.int64)
     batch, size, ids = [], 0, []
+    signs = (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")
 
     def flush():
         nonlocal batch, size, ids
@@ -85,15 +98,16 @@ def word_hashes(texts: list[bytes], piece: int = 1 << 20) -> tuple[np.ndarray, n
     for i, raw in enumerate(texts):
         at = 0
         while len(raw) - at > piece:
-            cut = max(raw.rfind(c, at + 1, at + piece) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
-            if cut < 0:
-                cuts = [c for c in (raw.find(w, at + piece) for w in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) if c >= 0]
-                if not cuts:
-                    break
-                cut = min(cuts)
-            flush()
-            batch, size, ids = [raw[at:cut]], cut - at, [i]
+            cut = max(raw.rfind(c, at + 1, at + piece) for c in signs)
             flush()
+            if cut < 0:
+                start = at + (raw[at : at + 1] in signs)
+                cut = min((c for c in (raw.find(w, start) for w in signs) if c >= 0), default=len(raw))
+                hashes.append(_hash_long(raw, start, cut, piece))
+                counts[i] += 1
+            else:
+                batch, size, ids = [raw[at:cut]], cut - at, [i]
+                flush()
             at = cut
         if size + len(raw) - at > piece:
             flush()

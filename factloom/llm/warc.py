@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, sized_join
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n"
@@ -63,15 +63,24 @@ def write_archive(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     return folder
 
 
-def read_archive(spark: SparkSession, folder: str) -> DataFrame:
+def read_archive(spark: SparkSession, folder: str, *, records_each: int = 1000, broadcast_rows: int = 100_000, scratch: Scratch | None = None) -> DataFrame:
     """The records put together again: head, http, payload, verified, record.
 
     `payload` is the full payload, for a revisit too; `record` has the bytes of the record as in a WARC file, where
-    a revisit ends after its HTTP header. `verified`: the stored bytes have the digest they are filed under.
+    a revisit ends after its HTTP header. `verified`: the stored bytes have the digest they are filed under. No task
+    meets more than about `records_each` records of one payload; the list of payloads with more is broadcast if it has
+    at most `broadcast_rows` rows of 80 bytes.
     """
     records = spark.read.schema("head binary, http binary, sha256 string").parquet(f"{folder}/records")
     payloads = spark.read.schema("sha256 string, payload binary").parquet(f"{folder}/payloads")
-    found = records.join(payloads, "sha256", "left")
+    # A payload that many records share is joined in parts: the records are dealt out among so many copies of it.
+    many = records.groupBy("sha256").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > records_each).select("sha256", F.ceil(F.col("n") / records_each).cast("int").alias("parts"))
+    many = (scratch or Scratch(spark)).keep(many)
+    rows = many.count()
+    one = F.coalesce("parts", F.lit(1))
+    dealt = sized_join(records, many, "sha256", "left", rows, broadcast_rows).withColumn("part", F.pmod(F.xxhash64("head"), one).cast("int")).drop("parts")
+    copies = sized_join(payloads, many, "sha256", "left", rows, broadcast_rows).withColumn("part", F.explode(F.sequence(F.lit(0), one - 1))).drop("parts")
+    found = dealt.join(copies, ["sha256", "part"], "left")
     block = F.when(F.decode("head", "utf-8").contains("\r\nWARC-Type: revisit\r\n"), F.lit(b"")).otherwise(F.col("payload"))
     return found.select("head", "http", "payload", (F.sha2("payload", 256) == F.col("sha256")).alias("verified"), F.concat("head", "http", block, F.lit(b"\r\n\r\n")).alias("record"))
 
