@@ -9,7 +9,7 @@ from ..functions import dates, sources, text, urls
 from ..operators import evidence, matching, rules, splits
 from ..sources import records
 from ..streaming import earliest
-from .registry import ORACLES, QUERIES, query
+from .registry import ORACLES, QUERIES, by_form, query  # noqa: F401
 from .registry import read as _t
 
 # Links
@@ -94,10 +94,13 @@ def split_counts(spark, d):
     return _keyed(spark, d).groupBy(splits.split(splits.bucket(F.col("key"))).alias("split")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("n_keys"))
 
 
-@query(_CUT + f"""SELECT count(*) AS n_keys, count(*) FILTER (n > 1) AS n_groups, max(n) AS largest, count(*) FILTER (s > 1) AS n_leaks
-FROM (SELECT key, count(*) AS n, count(DISTINCT {_SPLIT}) AS s FROM keyed GROUP BY key)""")
+@query(_CUT + f""", s AS (SELECT key, CASE WHEN page_id % 97 = 0 THEN 'test' ELSE {_SPLIT} END AS split FROM keyed)
+SELECT count(*) AS n_keys, count(*) FILTER (n > 1) AS n_groups, max(n) AS largest, count(*) FILTER (s > 1) AS n_leaks
+FROM (SELECT key, count(*) AS n, count(DISTINCT split) AS s FROM s GROUP BY key)""")
 def split_leak_check(spark, d):
-    rows = _keyed(spark, d).withColumn("split", splits.split(splits.bucket(F.col("key"))))
+    # The split that is checked was written down with the record, so a group can stand in two of them; here some are misfiled.
+    own = splits.split(splits.bucket(F.col("key")))
+    rows = _keyed(spark, d).withColumn("split", F.when(F.col("id") % 97 == 0, "test").otherwise(own))
     of = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("split").alias("low"), F.max("split").alias("high"))
     return of.agg(F.count(F.lit(1)).alias("n_keys"), F.count_if(F.col("n") > 1).alias("n_groups"), F.max("n").alias("largest"), F.count_if(F.col("low") != F.col("high")).alias("n_leaks"))
 
@@ -158,18 +161,6 @@ def match_note(spark, d):
     return rows.agg(F.count_if(known).alias("compared"), F.count_if(known & (F.col("quality") == F.col("toxic"))).alias("equal"))
 
 
-@query("SELECT event_type AS field, count(*) FILTER (lower(trim(event_type)) = 'view') AS unknown, count(*) AS n FROM events GROUP BY event_type")
-def unknown_note(spark, d):
-    return _t(spark, d, "events").groupBy(F.col("event_type").alias("field")).agg(F.count_if(F.lower(F.trim("event_type")) == "view").alias("unknown"), F.count(F.lit(1)).alias("n"))
-
-
-@query(r"""SELECT CASE WHEN starts_with(h, 'www.') THEN 'www' WHEN starts_with(h, 'm.') THEN 'mobile' ELSE 'Others' END AS platform, count(*) AS n
-FROM (SELECT lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS h FROM pages) GROUP BY 1""")
-def platform_groups(spark, d):
-    h = urls.host(F.col("url"))
-    return _t(spark, d, "pages").groupBy(F.when(h.startswith("www."), "www").when(h.startswith("m."), "mobile").otherwise("Others").alias("platform")).agg(F.count(F.lit(1)).alias("n"))
-
-
 _DECISION = "CASE o_orderstatus WHEN 'F' THEN 'keep' WHEN 'O' THEN 'unknown' ELSE 'discard' END"
 
 
@@ -186,11 +177,17 @@ def group_decision(spark, d):
     return rows.groupBy(F.col("o_custkey").alias("key")).agg(decision.alias("decision"), F.max_by("o_orderkey", F.struct("o_totalprice", -F.col("o_orderkey"))).alias("best"))
 
 
-@query(f"SELECT count(*) AS n, count(DISTINCT o_orderkey) AS n_ids, count(*) FILTER ({_DECISION} IN ('keep', 'discard', 'unknown')) AS covered, 0::BIGINT AS overlapping FROM orders")
+_PARTS = {"keep": "o_orderstatus = 'F' OR o_orderkey % 1000 = 1", "discard": "o_orderstatus = 'P' AND o_orderkey % 50 > 0", "unknown": "o_orderstatus = 'O'"}
+
+
+@query("WITH p AS (SELECT o_orderkey, " + " + ".join(f"CASE WHEN {c} THEN 1 ELSE 0 END" for c in _PARTS.values()) + " AS parts FROM orders) SELECT count(*) AS n, count(DISTINCT o_orderkey) AS n_ids, count(*) FILTER (parts > 0) AS covered, count(*) FILTER (parts > 1) AS overlapping FROM p")
 def partition_identity(spark, d):
-    rows = _t(spark, d, "orders").select("o_orderkey", F.expr(_DECISION).alias("x"))
-    of = rows.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.count_if(F.col("x").isin("keep", "discard", "unknown")).alias("covered"))
-    return of.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_ids"), F.sum("covered").alias("covered"), F.count_if(F.col("low") != F.col("high")).alias("overlapping"))
+    # Kept, discarded and unknown ids are lists of their own: every id has to be in one, and none in two.
+    orders = _t(spark, d, "orders")
+    lists = [orders.filter(c).select("o_orderkey", F.lit(1).alias("part")) for c in _PARTS.values()]
+    listed = lists[0].union(lists[1]).union(lists[2]).groupBy("o_orderkey").agg(F.sum("part").alias("parts"))
+    of = orders.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n")).join(listed, "o_orderkey", "left")
+    return of.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_ids"), F.count_if(F.col("parts") > 0).alias("covered"), F.count_if(F.col("parts") > 1).alias("overlapping"))
 
 
 # Selection and sinks
@@ -403,9 +400,7 @@ def location_vote(spark, d):
 _PLACES = {"New York City": True, "Central Park": False, "wearing Red": False, "Paris": True, "of": False, "Ohio": True, "Al": False, "the Hague": True, "lower case": False, "Bay of Bengal": True, "orange county": True, "London Bridge": False, "": False}
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in _PLACES.items()) + ") v(name, plausible)")
-def location_plausible(spark, d):
-    return spark.createDataFrame([(k,) for k in _PLACES], "name string").select("name", rules.place_is_plausible(F.col("name")).alias("plausible"))
+by_form("location_plausible", "orders", "o_orderkey", {"name": [f"'{k}'" for k in _PLACES]}, {"plausible": [str(v) for v in _PLACES.values()]}, lambda name: {"plausible": rules.place_is_plausible(name)})
 
 
 # Evidence and verdicts
@@ -471,23 +466,15 @@ def page_title_meta(spark, d):
     return _t(spark, d, "pages").select("page_id", F.nullif(F.trim(pick("title")), F.lit("")).alias("title"), F.nullif(F.trim(F.regexp_replace(pick("h1"), "<[^>]+>", " ")), F.lit("")).alias("heading"), F.contains(F.col("html"), F.lit("<article")).alias("has_article"))
 
 
-# Sources, framing and geocoding, over stated cases: (inputs ..., expected); the SQL states the expected rows
+# Sources, framing and geocoding: each row of a table takes one of the stated cases, (inputs ..., expected)
 
 
 def _cases(name: str, inputs: str, output: str, rows: list[tuple], compute):
-    """Registers a query over stated inputs; its SQL gives the rows that must come out."""
-
     def show(v):
-        return "NULL" if v is None else str(v).upper() if isinstance(v, bool) else f"{v}::DOUBLE" if isinstance(v, float) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+        return "NULL" if v is None else str(v).upper() if isinstance(v, bool) else f"CAST({v} AS DOUBLE)" if isinstance(v, float) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
 
     columns = [x.split()[0] for x in inputs.split(", ")]
-
-    def run(spark, d):
-        given = spark.createDataFrame([r[: len(columns)] for r in rows], inputs)
-        return given.select(*columns, compute(*(F.col(c) for c in columns)).alias(output))
-
-    QUERIES[name] = run
-    ORACLES[name] = f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) v({', '.join(columns)}, {output})"
+    by_form(name, "orders", "o_orderkey", {c: [show(r[i]) for r in rows] for i, c in enumerate(columns)}, {output: [show(r[-1]) for r in rows]}, lambda *c: {output: compute(*c)})
 
 
 _cases("source_normalize", "name string", "publisher", [("AFP", "agence france presse"), ("The Guardian", "guardian"), ("https://www.reuters.com/", "www"), ("Café & Co (@cafe)", "cafe and co"), ("@NYTimes", "new york times"), ("", ""), ("Unknown Blog", "unknown blog")], sources.publisher)
