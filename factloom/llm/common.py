@@ -97,6 +97,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: No table of more bytes than this, by Spark's estimate from the sizes of its files, is broadcast.
+MOST_BYTES = 64 << 20
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def sized_join(big: DataFrame, small: DataFrame, on, how: str, rows: int, bound: int) -> DataFrame:
-    """A join that broadcasts the small side only when its counted rows are within the bound; else Spark shuffles."""
-    return big.join(F.broadcast(small) if rows <= bound else small, on, how)
+    """A join that broadcasts the small side only when its counted rows and its estimated bytes are within their bounds; else Spark shuffles."""
+    fits = rows <= bound and estimated_bytes(small) <= MOST_BYTES
+    return big.join(F.broadcast(small) if fits else small, on, how)
