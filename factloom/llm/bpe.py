@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -19,6 +20,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 
 def byte_characters() -> list[str]:
     """A printable character for each byte: itself where printable in Latin-1, else the next free one from U+0100."""
@@ -131,6 +134,11 @@ class Codec:
                 yield from map(self._ids, cut)
             at = end
 
+    def forget(self) -> None:
+        """Frees the remembered pre-tokens: a worker lives on for tasks of other steps."""
+        self.memo = {}
+        release()
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -180,10 +188,13 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, doc_id: str = "doc_i
     name = ship(docs.sparkSession, vocabulary)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>")
-    def both(texts: pd.Series) -> pd.DataFrame:
-        codec, rows = _codec(name, pattern), []
-        for ids in codec.encode_all(texts):
-            rows.append((len(ids), hashlib.sha256(",".join(map(codec.names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest(), np.array(ids, np.int32) if with_ids else None))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        codec = _codec(name, pattern)
+        for texts in batches:
+            rows = []
+            for ids in codec.encode_all(texts):
+                rows.append((len(ids), hashlib.sha256(",".join(map(codec.names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest(), np.array(ids, np.int32) if with_ids else None))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+        codec.forget()
 
     return docs.select(F.col(doc_id).alias("doc_id"), both(F.col(text)).alias("d")).select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256", *(["d.ids"] if with_ids else []))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import uuid
 
@@ -97,6 +99,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release() -> None:
+    """Gives memory that a Python worker no longer uses back to the system, where the C library can do so."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 #: No table of more bytes than this, by Spark's estimate from the sizes of its files, is broadcast.
 MOST_BYTES = 64 << 20
 
