@@ -39,13 +39,23 @@ def _places(text: Column, pattern: str, kind: str, order: int, keep=None) -> Col
 
     # Matches are summed up in blocks of about the root of their number, then the blocks: appending to one long array
     # would copy it for every match.
-    width = F.ceil(F.sqrt(F.size(at))).cast("int") + 1
-    starts = F.sequence(F.lit(1), F.greatest(F.size(at), F.lit(1)), width)
-    blocks = F.transform(starts, lambda i: F.aggregate(F.slice(at, i, width), F.struct(F.lit(0).alias("at"), none.alias("spans")), step))
+    let = lambda value, body: F.get(F.transform(F.array(value), body), 0)
     moved = lambda done, b: F.struct((done["at"] + b["at"]).alias("at"), F.concat(done["to"], F.array(done["at"])).alias("to"))
-    shifts = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("to")), moved, lambda done: done["to"])
     shift = lambda s, by: F.struct((s["start"] + by).alias("start"), s["order"].alias("order"), (s["end"] + by).alias("end"), s["kind"].alias("kind"), s["hit"].alias("hit"))
-    spans = F.flatten(F.zip_with(blocks, shifts, lambda b, by: F.transform(b["spans"], lambda s: shift(s, by))))
+
+    def summed(found: Column) -> Column:
+        return let(F.ceil(F.sqrt(F.size(found))).cast("int") + 1, lambda width: let(blocks(found, width), joined))
+
+    def blocks(found: Column, width: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(found), F.lit(1)), width)
+        return F.transform(starts, lambda i: F.aggregate(F.slice(found, i, width), F.struct(F.lit(0).alias("at"), none.alias("spans")), step))
+
+    def joined(parts: Column) -> Column:
+        shifts = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("to")), moved, lambda done: done["to"])
+        return F.flatten(F.zip_with(parts, shifts, lambda b, by: F.transform(b["spans"], lambda s: shift(s, by))))
+
+    # Bound once, so that the text is searched once.
+    spans = let(at, summed)
     return F.when(F.rlike(text, F.lit(pattern)), F.filter(spans, keep) if keep else spans).otherwise(none)
 
 
