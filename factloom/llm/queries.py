@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, exact_dedup, language, line_dedup, neardup, quality, secrets, substring, warc
+from . import baskets, bpe, decontaminate, exact_dedup, language, line_dedup, neardup, quality, secrets, substring, warc
 from .common import Scratch, remainder, table
 
 QUERIES: dict = {}
@@ -99,3 +99,8 @@ def op5_decontaminate(spark, sf_dir):
 def op8_fuzzy_lines(spark, sf_dir):
     done = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+@_query
+def op11_basket_itemsets(spark, sf_dir):
+    return baskets.digest(baskets.itemsets_with_rules(table(spark, sf_dir, "sale_lines")))
