@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import baskets, bpe, decontaminate, exact_dedup, language, line_dedup, neardup, quality, secrets, substring, warc
+from . import baskets, bpe, decontaminate, exact_dedup, language, line_dedup, neardup, quality, resampling, secrets, substring, warc
 from .common import Scratch, remainder, table
 
 QUERIES: dict = {}
@@ -104,3 +104,9 @@ def op8_fuzzy_lines(spark, sf_dir):
 @_query
 def op11_basket_itemsets(spark, sf_dir):
     return baskets.digest(baskets.itemsets_with_rules(table(spark, sf_dir, "sale_lines")))
+
+
+@_query
+def op13_importance_resampling(spark, sf_dir):
+    drawn = resampling.importance_resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
