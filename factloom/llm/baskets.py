@@ -47,7 +47,7 @@ def _slices(sizes: np.ndarray, most: int):
         at = end
 
 
-def _pack_block(rows: pd.DataFrame) -> pd.DataFrame:
+def _pack_block(rows: pd.DataFrame, most: int) -> pd.DataFrame:
     """A block's baskets as one row: starts and items of a sparse matrix, without baskets of one item."""
     basket, item = rows["basket"].to_numpy(), rows["item"].to_numpy()
     order = np.lexsort((item, basket))
@@ -55,19 +55,19 @@ def _pack_block(rows: pd.DataFrame) -> pd.DataFrame:
     first = np.flatnonzero(np.r_[True, basket[1:] != basket[:-1]])
     size = np.diff(np.r_[first, len(basket)])
     item, size = item[np.repeat(size > 1, size)], size[size > 1]
-    wide, light = int((size > WIDE).sum()), size[size <= WIDE].astype(np.int64)
+    wide, light = int((size > most).sum()), size[size <= most].astype(np.int64)
     starts = np.r_[0, np.cumsum(size)].astype(np.int64)
     return pd.DataFrame({"block": [rows["block"].iloc[0]], "starts": [starts.tobytes()], "items": [item.astype(np.int64).tobytes()], "n_pairs": [int((light * (light - 1) // 2).sum())], "n_wide": [wide]})
 
 
-def _pairs_in(starts: np.ndarray, items: np.ndarray, with_wide: bool):
+def _pairs_in(starts: np.ndarray, items: np.ndarray, most: int, with_wide: bool):
     """Arrays a, b of all pairs a < b within a basket, in parts of bounded size."""
     sizes = np.diff(starts)
     for k in np.unique(sizes):
-        if k > WIDE and not with_wide:
+        if k > most and not with_wide:
             continue
         own = starts[:-1][sizes == k]
-        if k > WIDE:
+        if k > most:
             for at in own:
                 row = items[at : at + k]
                 for i in range(k - 1):
@@ -87,14 +87,14 @@ def _summed(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np
     return a[first], b[first], np.add.reduceat(n, first)
 
 
-def _frequent_pairs(blocks: DataFrame, shards: int, least: int, with_wide: bool) -> DataFrame:
+def _frequent_pairs(blocks: DataFrame, shards: int, least: int, most: int, with_wide: bool) -> DataFrame:
     """a, b, n of all pairs a < b that reach `least`. A block sends each shard of pairs one packet."""
 
     def send(batches):
         for pdf in batches:
             for starts, items in zip(pdf["starts"], pdf["items"], strict=True):
                 held, size = [], 0
-                for part in _pairs_in(np.frombuffer(starts, np.int64), np.frombuffer(items, np.int64), with_wide):
+                for part in _pairs_in(np.frombuffer(starts, np.int64), np.frombuffer(items, np.int64), most, with_wide):
                     held.append(part)
                     size += len(part[0])
                     if size >= 2 * ENTRIES:
@@ -149,11 +149,11 @@ class _Matrix:
         at = np.minimum(np.searchsorted(self.names, items), len(self.names) - 1)
         return np.where(self.names[at] == items, at, -1)
 
-    def occurrences(self, starts: np.ndarray, codes: np.ndarray):
+    def occurrences(self, starts: np.ndarray, codes: np.ndarray, entries: int):
         """set, row of every basket that holds all items of a set, in parts. codes: by set, the rarest first."""
         sizes = np.diff(starts)
         first = codes[starts[:-1]]
-        for at, end in _slices(self.column_sizes[first], ENTRIES):
+        for at, end in _slices(self.column_sizes[first], entries):
             own = first[at:end]
             which = np.repeat(np.arange(at, end), self.column_sizes[own])
             row = self.by_column[_ragged(self.column_starts[own], self.column_sizes[own])]
@@ -166,17 +166,21 @@ class _Matrix:
 
 
 def _product(sets: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+    return product(sets, block, ENTRIES)
+
+
+def product(sets: pd.DataFrame, block: pd.DataFrame, entries: int) -> pd.DataFrame:
     """sid, own, item, n of one block: the support of each set (own) and of the set with each of its columns."""
     out = []
     if len(block) and len(sets):
         matrix = _Matrix(block["starts"].iloc[0], block["items"].iloc[0])
         if len(matrix.names):
             for batch in sets.itertuples():
-                out += _batch_product(matrix, *(np.frombuffer(x, np.int64) for x in (batch.sids, batch.starts, batch.items, batch.col_starts, batch.cols)))
+                out += _batch_product(matrix, *(np.frombuffer(x, np.int64) for x in (batch.sids, batch.starts, batch.items, batch.col_starts, batch.cols)), entries)
     return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"sid": np.zeros(0, np.int64), "own": np.zeros(0, bool), "item": np.zeros(0, np.int64), "n": np.zeros(0, np.int64)})
 
 
-def _batch_product(matrix: _Matrix, sids, starts, items, col_starts, cols) -> list[pd.DataFrame]:
+def _batch_product(matrix: _Matrix, sids, starts, items, col_starts, cols, entries: int) -> list[pd.DataFrame]:
     codes, width = matrix.coded(items), len(matrix.names)
     of = np.repeat(np.arange(len(sids)), np.diff(starts))
     here = np.ones(len(sids), bool)
@@ -195,10 +199,10 @@ def _batch_product(matrix: _Matrix, sids, starts, items, col_starts, cols) -> li
     own, found = np.zeros(len(chosen), np.int64), np.zeros(len(wanted), np.int64)
     has_columns = np.zeros(len(chosen), bool)
     has_columns[wanted // width] = True
-    for which, row in matrix.occurrences(starts, codes):
+    for which, row in matrix.occurrences(starts, codes, entries):
         own += np.bincount(which, minlength=len(chosen))
         which, row = which[has_columns[which]], row[has_columns[which]]
-        for at, end in _slices(matrix.sizes[row], ENTRIES):
+        for at, end in _slices(matrix.sizes[row], entries):
             size = matrix.sizes[row[at:end]]
             key = np.repeat(which[at:end], size) * width + matrix.codes[_ragged(matrix.starts[row[at:end]], size)]
             place = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
@@ -214,9 +218,10 @@ class _Blocks:
     """The blocks of baskets, and counts over all of them."""
 
     def __init__(self, scratch: Scratch, kept: DataFrame, entries: int, block_entries: int):
-        self.scratch, self.number = scratch, max(1, math.ceil(entries / block_entries))
+        most = WIDE
+        self.scratch, self.most, self.number = scratch, most, max(1, math.ceil(entries / block_entries))
         dealt = kept.withColumn("block", F.pmod(F.xxhash64("basket"), F.lit(self.number)).cast("int"))
-        self.table = scratch.keep(dealt.groupBy("block").applyInPandas(_pack_block, "block int, starts binary, items binary, n_pairs long, n_wide long"))
+        self.table = scratch.keep(dealt.groupBy("block").applyInPandas(lambda rows: _pack_block(rows, most), "block int, starts binary, items binary, n_pairs long, n_wide long"))
         self.pairs, self.wide = self.table.agg(F.coalesce(F.sum("n_pairs"), F.lit(0)), F.coalesce(F.sum("n_wide"), F.lit(0))).first()
 
     def counts(self, sets: DataFrame, number: int) -> DataFrame:
@@ -235,7 +240,7 @@ class _Blocks:
         frequent pair has at least the difference in the other baskets; what reaches that is then counted in all.
         """
         shards, few = max(1, math.ceil(self.pairs / 200_000)), 0 < self.wide < least
-        found = self.scratch.keep(_frequent_pairs(self.table, shards, least - self.wide if few else least, self.wide >= least))
+        found = self.scratch.keep(_frequent_pairs(self.table, shards, least - self.wide if few else least, self.most, self.wide >= least))
         if not few:
             return found
         sets = self.scratch.keep(found.select(F.monotonically_increasing_id().alias("sid"), F.array("a", "b").alias("items"), F.lit(None).cast("array<long>").alias("cols")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import baskets, bpe, decontaminate, exact_dedup, language, line_dedup, neardup, quality, resampling, secrets, substring, warc
+from . import baskets, bpe, chat, decontaminate, exact_dedup, language, line_dedup, neardup, quality, resampling, secrets, substring, warc
 from .common import Scratch, remainder, table
 
 QUERIES: dict = {}
@@ -110,3 +110,25 @@ def op11_basket_itemsets(spark, sf_dir):
 def op13_importance_resampling(spark, sf_dir):
     drawn = resampling.importance_resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@_query
+def op12_chat_formatting(spark, sf_dir):
+    import public_tokenizers
+
+    text = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    return chat.read_back(chat.format_conversations(turns, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+ORACLES["op12_chat_formatting"] = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+t AS (SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss, {chat.escaped_sql("text")} AS n_text,
+             CASE role WHEN 'system' THEN 12 WHEN 'user' THEN 10 WHEN 'assistant' THEN 15 ELSE 20 + {chat.escaped_sql("role")} END AS n_head FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(length(loss)) AS BIGINT) AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn, role, text)) AS loss_sha256,
+       CAST(sum(n_head + n_text + 8) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""

@@ -70,7 +70,6 @@ def rows_of(rnd, n_baskets, n_items, bundles):
 def test_equals_plain_search_with_bundles_wide_baskets_and_small_blocks(spark, monkeypatch, seed):
     rnd = random.Random(seed)
     monkeypatch.setattr(baskets, "WIDE", 12)
-    monkeypatch.setattr(baskets, "ENTRIES", 50)
     monkeypatch.setattr(baskets, "BATCH", 7)
     bundles = [rnd.sample(range(40), rnd.randrange(2, 7)) for _ in range(6)]
     rows = rows_of(rnd, 150, 40, bundles)
@@ -126,3 +125,23 @@ def test_plain_search_itself():
             want[s] = sum(all((b, i) in rows for i in s) for b in range(3))
     closed = {s for s, n in want.items() if n >= 1 and all(want[t] < n for t in want if set(t) > set(s))}
     assert {tuple(map(int, k.split(","))) for k in plain(rows, least=1)} == closed
+
+
+def test_products_in_parts_of_any_size_equal_plain_counts():
+    import numpy as np
+    import pandas as pd
+
+    rnd = random.Random(6)
+    own = [sorted(rnd.sample(range(20), rnd.randrange(2, 9))) for _ in range(80)]
+    block = baskets._pack_block(pd.DataFrame({"block": 0, "basket": [k for k, b in enumerate(own) for _ in b], "item": [i for b in own for i in b]}), 100)
+    sets = [(s, sorted(rnd.sample(range(22), rnd.randrange(1, 4))), rnd.sample(range(22), rnd.randrange(0, 5)) or None) for s in range(60)]
+    batch = baskets._pack_sets(pd.DataFrame(sets, columns=["sid", "items", "cols"]).assign(batch=0))
+    want = set()
+    for s, items, cols in sets:
+        want |= {(s, True, 0, sum(set(items) <= set(b) for b in own))} | {(s, False, c, sum({*items, c} <= set(b) for b in own)) for c in cols or []}
+    want = {x for x in want if x[3]}
+    for entries in (1, 7, 100, 10**6):
+        got = baskets.product(batch, block, entries)
+        assert {tuple(map(int, r)) for r in got.to_numpy()} == {tuple(map(int, r)) for r in want} and len(got) == len(want)
+    parts = [np.concatenate(x) for x in zip(*baskets._pairs_in(np.frombuffer(block["starts"][0], np.int64), np.frombuffer(block["items"][0], np.int64), 4, True), strict=True)]
+    assert sorted(zip(*(p.tolist() for p in parts), strict=True)) == sorted(x for b in own for x in combinations(b, 2))
