@@ -212,3 +212,98 @@ def _answer(text: str | None):
 def _lenient(texts: pd.Series) -> pd.Series:
     found = (_answer(x) for x in texts)
     return pd.Series([None if x is None else json.dumps(x, ensure_ascii=False, sort_keys=True, default=str) for x in found], dtype=object)
+
+
+#: Words of titles that tell nothing of a page's topic.
+IDLE = ["this", "that", "with", "from", "have", "will", "when", "what", "news", "video", "watch", "breaking", "latest", "live", "updates"]
+_BLOCK = T.StructType([T.StructField("text", T.StringType()), T.StructField("heads", T.ArrayType(T.StringType()))])
+
+
+class _Blocks(HTMLParser):
+    """The parts of a page that may hold its article, each with its whole text and its headings, nested ones within outer ones too."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.found, self.silent = [], [], 0
+        self.root, self.body = {"rank": 2, "text": [], "heads": []}, None
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "template"):
+            self.silent += 1
+        if tag in VOID or self.silent:
+            return
+        block = None
+        if tag in ("article", "main") or "articleBody" in (dict(attrs).get("itemprop") or "").split():
+            block = {"rank": 0 if tag in ("article", "main") else 1, "text": [], "heads": []}
+            self.found.append(block)
+        elif tag == "body" and self.body is None:
+            block = self.body = {"rank": 2, "text": [], "heads": []}
+        head = [] if tag in ("h1", "h2") else None
+        if head is not None:
+            for holder in self._holders():
+                holder["heads"].append(head)
+        self.open.append((tag, block, head))
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style", "template"):
+            self.silent = max(0, self.silent - 1)
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] == tag:
+                del self.open[k:]
+                break
+
+    def _holders(self):
+        return [self.root, *(block for _, block, _ in self.open if block is not None)]
+
+    def handle_data(self, data):
+        text = data.strip()
+        if text and not self.silent:
+            for holder in self._holders():
+                holder["text"].append(text)
+            for _, _, head in self.open:
+                if head is not None:
+                    head.append(text)
+
+    def blocks(self) -> list[dict]:
+        parts = sorted(self.found, key=lambda b: b["rank"]) or [self.body or self.root]
+        return [{"text": " ".join(b["text"]), "heads": [" ".join(h) for h in b["heads"]]} for b in parts]
+
+
+def _blocks_of(page: str | None) -> list[dict]:
+    reader = _Blocks()
+    try:
+        reader.feed(page or "")
+        reader.close()
+    except (AssertionError, ValueError):
+        pass
+    return reader.blocks()
+
+
+@F.pandas_udf(T.ArrayType(_BLOCK))
+def blocks(pages: pd.Series) -> pd.Series:
+    """A page's articles and mains as they stand, then its other article bodies; the whole body where there are none. Texts within scripts and styles don't count."""
+    return pd.Series([_blocks_of(x) for x in pages], dtype=object)
+
+
+def topic_words(text: Column) -> Column:
+    """Distinct runs of four letters or more in lower case, without those that tell nothing."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)[^\W\d_]{4,}"), F.lit(0))
+    return F.array_distinct(F.filter(found, lambda w: ~w.isin(IDLE)))
+
+
+def article(rows: DataFrame, page: str, title: str, description: str, out: str = "article") -> DataFrame:
+    """Adds the text of the block that fits a page's title best, or its description where the title has no words of its own.
+
+    Best is the block with most words of these in one of its headings, then most in its first 1500 characters, then the
+    shortest, then the first. A block of less than 300 characters with a heading, but none of these words, is a card
+    of another story: null. The blocks of one page are compared within its row.
+    """
+    own, more = topic_words(F.col(title)), topic_words(F.col(description))
+    rows = rows.withColumns({"__blocks": blocks(F.col(page)), "__topic": F.when(F.size(own) > 0, own).otherwise(more)})
+    shared = lambda text: F.size(F.array_intersect(topic_words(text), F.col("__topic")))
+    scored = F.transform("__blocks", lambda b, i: F.struct(
+        (-F.coalesce(F.array_max(F.transform(b["heads"], shared)), F.lit(0))).alias("heads"), (-shared(F.substring(b["text"], 1, 1500))).alias("body"), F.char_length(b["text"]).alias("size"), i.alias("at"), b["text"].alias("text"), (F.size(b["heads"]) > 0).alias("headed"),
+    ))
+    rows = rows.withColumn("__best", F.array_min(scored))
+    card = (F.size("__topic") > 0) & (F.col("__best.size") < 300) & F.col("__best.headed") & (shared(F.col("__best.text")) == 0)
+    return rows.withColumn(out, F.when(~card, F.col("__best.text"))).drop("__blocks", "__topic", "__best")
