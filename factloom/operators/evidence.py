@@ -60,16 +60,3 @@ def without_type(evidence: DataFrame, links: DataFrame, kind: str, claim: str =
     """Evidence and field links after all evidence of one type is taken out; a field whose links are all gone has none."""
     gone = evidence.filter(F.col("type") == kind).select(claim, "evidence_id")
     return evidence.filter(F.coalesce(F.col("type") != kind, F.lit(True))), links.join(gone, [claim, "evidence_id"], "left_anti")
-
-
-def packed(items: DataFrame, by: str, order: list[str], size: str, budget: int) -> DataFrame:
-    """The items that are taken in order while they fit a budget: one that doesn't fit is left out, later smaller ones may follow.
-
-    A claim's items are folded within its row, in order; they are as many as one prompt can be offered.
-    """
-    rows = items.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(size).cast("long").alias("__size")))).alias("all"))
-    fits = lambda state, x: state["used"] + x["__size"] <= budget
-    empty = F.filter("all", lambda x: F.lit(False))
-    step = lambda state, x: F.struct(F.when(fits(state, x), state["used"] + x["__size"]).otherwise(state["used"]).alias("used"), F.when(fits(state, x), F.concat(state["kept"], F.array(x))).otherwise(state["kept"]).alias("kept"))
-    folded = rows.select(by, F.aggregate("all", F.struct(F.lit(0).cast("long").alias("used"), empty.alias("kept")), step, lambda state: state["kept"]).alias("kept"))
-    return folded.select(by, F.posexplode("kept").alias("place", "item")).select(by, "place", *(F.col(f"item.{c}").alias(c) for c in order))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, text, urls
-from ..operators import entities, evidence, provenance, rules, verdicts
+from ..operators import entities, evidence, prompts, provenance, rules, verdicts
 from .registry import by_form, query, read
 
 NULL = "CAST(NULL AS STRING)"
@@ -216,7 +216,7 @@ UNION ALL SELECT r.conv_id, r.k, r.turn, CASE WHEN s.used + r.size <= 2000 THEN
 SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM s WHERE kept""")
 def packed_evidence(spark, d):
     rows = read(spark, d, "conversations").select("conv_id", "turn", F.char_length("text").alias("size"))
-    return evidence.packed(rows, "conv_id", ["turn"], "size", 2000).select("conv_id", "turn", F.col("place").cast("long").alias("place"))
+    return prompts.packed(rows, "conv_id", ["turn"], "size", 2000).select("conv_id", "turn", F.col("place").cast("long").alias("place"))
 
 
 _ST = "CASE ({0}) % 4 WHEN 0 THEN 'supported' WHEN 1 THEN 'refuted' WHEN 2 THEN 'unknown' ELSE 'not_applicable' END"
