@@ -173,7 +173,7 @@ def decoded(text: Column) -> Column:
 def is_factcheck(url: Column) -> Column:
     """Whether a link leads to a fact-checker: by site, account name or path, archived copies included, however often archived.
 
-    A link that can't be read counts as one.
+    A link that can't be read, as its host's brackets don't match or hold no IPv6 address, counts as one.
     """
     archive = r"^(?:/web/[^/]+/https?://web\.archive\.org(?::\d+)?)*/web/[^/]+/(https?://.+)$"
 
@@ -187,7 +187,9 @@ def is_factcheck(url: Column) -> Column:
         social = F.regexp_replace(F.regexp_replace(h, r"^www\.", ""), r"^m\.", "").isin(SOCIAL_HOSTS)
         account = social & F.regexp_replace(F.lower(name), "[^a-z0-9]", "").isin(FACTCHECK_HANDLES)
         checker = h.rlike(r"(^|\.)(" + "|".join(x.replace(".", "[.]") for x in FACTCHECK_DOMAINS) + ")$")
-        return (site.contains("[") != site.contains("]")) | account | checker | place.rlike("(?i)" + FACTCHECK_LABEL)
+        literal = F.regexp_extract(site, r"\[([^\]]*)\]", 1)
+        broken = (site.contains("[") != site.contains("]")) | (site.contains("[") & hex_ip6(literal).isNull() & ~literal.rlike(r"^v[0-9A-Fa-f]+\..+"))
+        return F.coalesce(broken, F.lit(True)) | account | checker | place.rlike("(?i)" + FACTCHECK_LABEL)
 
     inner = lambda u: F.when(host(u) == "web.archive.org", F.nullif(F.regexp_extract(decoded(path(u)), archive, 1), F.lit("")))
     return let(F.coalesce(url, F.lit("")), lambda u: let(F.coalesce(inner(u), u), judged))

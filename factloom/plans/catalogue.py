@@ -276,11 +276,8 @@ n AS (SELECT label, sqrt(sum(x * x)) AS n FROM m GROUP BY label),
 p AS (SELECT a.label AS label, b.label AS other, sum(a.x * b.x) / any_value(na.n * nb.n) AS s FROM m a JOIN m b ON a.d = b.d AND a.label <> b.label JOIN n na ON na.label = a.label JOIN n nb ON nb.label = b.label GROUP BY ALL)
 SELECT label, other, round(s, 4) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, other) AS rank FROM p) WHERE rank <= 5""")
 def near_dup_vectors(spark, d):
-    # Products by dimension instead of pairs of whole vectors: the join key is the dimension of the groups' means.
-    means = matching.mean_units(_t(spark, d, "embeddings").select("label", "embedding"), "label", "embedding").select("label", F.posexplode("mean").alias("d", "x"))
-    other = means.select(F.col("label").alias("other"), "d", F.col("x").alias("y"))
-    scored = means.join(other, "d").filter("label <> other").groupBy("label", "other").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
-    return matching.ranked(scored, ["label"], [F.desc("s"), F.col("other")], 5).select("label", "other", F.round("s", 4).alias("similarity"), "rank")
+    means = matching.mean_units(_t(spark, d, "embeddings").select("label", "embedding"), "label", "embedding")
+    return matching.nearest(means, "label", 5).select("label", "other", F.round("s", 4).alias("similarity"), "rank")
 
 
 _FRAMES = """WITH f AS (SELECT vec_id, vec_id // 4 AS g, embedding AS e, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y)))) AS v FROM embeddings),

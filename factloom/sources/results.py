@@ -76,14 +76,25 @@ def test_ids(spark, path: str, limit: int = 0) -> DataFrame:
     return rows.orderBy("seq").limit(limit).select("claim_id", "seq") if limit else rows
 
 
-def insert(rows: DataFrame, path: str, key: str, reset: bool = False) -> None:
-    """Adds the rows whose key isn't in the table yet; with `reset` the rows replace the table."""
+def insert(rows: DataFrame, path: str, key: str, reset: bool = False, batch: int | None = None) -> None:
+    """Adds the rows whose key isn't in the table yet, each key once; with `reset` the rows replace the table.
+
+    With a `batch` number the rows go into that batch's own part and replace what a former try has left there, so a run
+    that is repeated inserts nothing twice. A table is written with batch numbers throughout or not at all.
+    """
     spark = rows.sparkSession
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-    if there and not reset:
-        rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti")
-    rows.write.mode("overwrite" if reset else "append").parquet(path)
+    jvm = spark.sparkContext._jvm
+    place, part = jvm.org.apache.hadoop.fs.Path(path), f"{path}/batch={batch}" if batch is not None else path
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = rows.dropDuplicates([key])
+    if reset:
+        rows.write.mode("overwrite").parquet(path)
+        return
+    if batch is not None:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(part), True)
+    if fs.exists(place) and fs.listStatus(place):
+        rows = rows.join(spark.read.schema(rows.schema).parquet(path).select(key), key, "left_anti")
+    rows.write.mode("append").parquet(part)
 
 
 def export(results: DataFrame, path: str) -> None:

@@ -109,3 +109,26 @@ def test_excerpts(spark):
     told = "First one. In the middle stands Lima today! Last."
     at = told.index("Lima")
     assert one(spark, [told], text.excerpt(F.col("v"), F.lit(at), F.lit(at + 4))) == ["In the middle stands Lima today!"]
+
+
+def test_nearest_in_blocks_of_any_size_equals_all_pairs(spark):
+    import random
+
+    import numpy as np
+
+    rnd = random.Random(4)
+    rows = [(f"g{k % 25}", [rnd.choice([-1.0, 0.5, 1.0]) for _ in range(4)]) for k in range(60)] + [("zero", [0.0] * 4), ("apart", [1.0, 0.0, 0.0, 0.0]), ("apart", [-1.0, 0.0, 0.0, 0.0]), ("nan", [float("nan")] * 4), ("g1", [0.0] * 4)]
+    df = spark.createDataFrame(rows, "g string, v array<float>")
+    means = {}
+    for g in {r[0] for r in rows}:
+        own = [np.array(v) / np.linalg.norm(v) for h, v in rows if h == g and np.isfinite(v).all() and np.linalg.norm(v) > 0]
+        if own and np.linalg.norm(m := np.mean(own, 0)) > 1.2e-7:
+            means[g] = m / np.linalg.norm(m)
+    want = {}
+    for g, m in means.items():
+        best = sorted((-round(float(m @ o), 9), h) for h, o in means.items() if h != g)[:6]
+        want |= {(g, k): (h, -s) for k, (s, h) in enumerate(best, 1)}
+    assert "zero" not in means and "apart" not in means and "g1" in means
+    for block in (1, 7, 1000):
+        got = {(r.g, r.rank): (r.other, r.s) for r in matching.nearest(matching.mean_units(df, "g", "v"), "g", 6, block=block).collect()}
+        assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-9 for k in want)

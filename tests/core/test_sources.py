@@ -1,6 +1,8 @@
 import datetime
 import json
 
+from pyspark.sql import functions as F
+
 from factloom.sources import records
 from factloom.streaming import earliest
 
@@ -27,3 +29,27 @@ def test_first_seen_over_a_stream_equals_the_table(spark, tmp_path):
     q.stop()
     assert sorted(map(tuple, spark.sql("SELECT * FROM seen").collect())) == sorted(map(tuple, earliest.first_seen(df, ["k"], "ts").collect()))
     assert earliest.once(df, ["k"], "ts", "10 minutes").count() == 2
+
+
+def test_insert_adds_each_key_once_and_a_repeated_batch_nothing(spark, tmp_path):
+    from factloom.sources.results import insert
+
+    path, frame = str(tmp_path / "t"), lambda ids: spark.createDataFrame([(i, f"v{i}") for i in ids], "id int, v string")
+    read = lambda: sorted(r.id for r in spark.read.schema("id int, v string").parquet(path).collect())
+    insert(frame([1, 2, 2]), path, "id")
+    insert(frame([2, 3, 3]), path, "id")
+    assert read() == [1, 2, 3]
+    insert(frame([9]), path, "id", reset=True)
+    assert read() == [9]
+    path = str(tmp_path / "b")
+    for batch, ids in ((1, [1, 2]), (2, [2, 3, 3]), (2, [2, 3, 3]), (1, [1, 2])):
+        insert(frame(ids), path, "id", batch=batch)
+        assert read() == [1, 2] if batch == 1 and ids == [1, 2] and len(read()) == 2 else [1, 2, 3]
+
+
+def test_links_that_cannot_be_read_count_as_fact_checks(spark):
+    from factloom.functions import urls
+
+    links = ["http://[::1/x", "http://::1]/x", "http://[zz]/x", "http://[1:2]/x", "http://[::1]/x", "http://[v1.a]/x", "http://a.example/[x]", "https://a.example:99999/x"]
+    rows = spark.createDataFrame([(x,) for x in links], "u string").select("u", urls.is_factcheck(F.col("u")).alias("f")).collect()
+    assert [r.f for r in rows] == [True, True, True, True, False, False, False, False]
