@@ -102,3 +102,18 @@ def test_all_overlaps_equal_those_at_all_shifts(spark):
         assert len(got) == len(expected) and {(r.doc_id, r.item_id): (r.best_window, r.n_words) for r in got} == expected
     assert len(expected) > len({r[:2] for r in brute(docs, items)}) + 20
     assert find_all_overlaps(d.limit(0), t).collect() == [] and find_all_overlaps(d, t.limit(0)).collect() == []
+
+
+def test_masks_meet_no_exchanged_word_wherever_they_are():
+    from itertools import combinations
+
+    from factloom.llm.decontaminate import lossless_masks
+
+    for window, substitutions in ((13, 3), (13, 2), (8, 3), (20, 2)):
+        for width in range(1, window + 1):
+            s = width * substitutions // window
+            masks = lossless_masks(width, s)
+            assert len(masks) <= 4 and all(m[0] == m[-1] == "1" and len(m) <= width for m in masks)
+            for harm in combinations(range(width), s):
+                assert any(all(m[k] == "0" or o + k not in harm for k in range(len(m))) for m in masks for o in range(width - len(m) + 1))
+    assert min(m.count("1") for m in lossless_masks(13, 3)) >= 5 and any("0" in m for m in lossless_masks(13, 3))
