@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import prompts, retrieval
+from ..functions import text
+from ..operators import mentions, prompts, retrieval
 from ..streaming import batch
 from .registry import query, read
 
@@ -78,3 +79,19 @@ def batch_outcomes(spark, d):
 
     done = batch.outcomes(read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("claim_id")).distinct(), judged)
     return done.select("claim_id", "status", "verdict", F.array_join("errors", "; ").alias("error"))
+
+
+# A recogniser of names of seven letters or more at the ends of sentences, over the documents' chunks.
+
+
+@query(r"""WITH c AS (SELECT doc_id, unnest(range(0, length(text), 750)) AS spot, text FROM (SELECT doc_id, regexp_replace(text, '^[\s]+|[\s]+$', '', 'g') AS text FROM documents)), p AS (SELECT doc_id, spot, substr(text, spot + 1, 800) AS piece FROM c),
+f AS (SELECT *, regexp_extract(piece, '(?:^|[^\p{L}\p{N}_])([A-Z][a-z]{6,})(?:$|[^\p{L}\p{N}_])', 1) AS name FROM p)
+SELECT DISTINCT doc_id, name, CAST(spot + length(regexp_extract(piece, '(?s)^(.*?)(?:^|[^\p{L}\p{N}_])[A-Z][a-z]{6,}(?:$|[^\p{L}\p{N}_])', 1)) + CASE WHEN regexp_matches(piece, '^[A-Z][a-z]{6,}(?:$|[^\p{L}\p{N}_])') THEN 0 ELSE 1 END AS BIGINT) AS start FROM f WHERE name <> ''""")
+def place_mentions(spark, d):
+    texts = read(spark, d, "documents").select("doc_id", text.stripped(F.col("text")).alias("text")).filter("text <> ''")
+    chunks = mentions.chunked(texts)
+    pattern = r"(?:^|[^\p{L}\p{N}_])([A-Z][a-z]{6,})(?:$|[^\p{L}\p{N}_])"
+    name = F.regexp_extract("piece", pattern, 1)
+    first = F.regexp_instr("piece", F.lit(pattern)) - F.when(F.col("piece").rlike(r"^[A-Z][a-z]{6,}(?:$|[^\p{L}\p{N}_])"), 1).otherwise(0)
+    found = chunks.select("piece").distinct().select("piece", F.lit("LOC").alias("kind"), F.lit(0.9).alias("score"), name.alias("word"), first.cast("int").alias("start"), (first + F.char_length(name)).cast("int").alias("end")).filter("word <> ''")
+    return mentions.mentions(chunks, found, "doc_id").select("doc_id", "name", F.col("start").cast("long").alias("start"))
