@@ -132,3 +132,15 @@ def test_nearest_in_blocks_of_any_size_equals_all_pairs(spark):
     for block in (1, 7, 1000):
         got = {(r.g, r.rank): (r.other, r.s) for r in matching.nearest(matching.mean_units(df, "g", "v"), "g", 6, block=block).collect()}
         assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-9 for k in want)
+
+
+def test_queries_on_dates_compile(spark):
+    import __spark_entry__
+
+    queries = __spark_entry__.queries()
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        for name in ("date_parse", "date_compare", "date_fields", "date_rules", "calendar_dates", "date_grounded"):
+            queries[name](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
