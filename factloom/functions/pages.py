@@ -23,6 +23,8 @@ from .urls import absolute, is_public
 #: Kinds of structured nodes that tell of a page's content, and titles of pages that ask for a human.
 KINDS = {"videoobject", "newsarticle", "article", "socialmediaposting"}
 CHALLENGE = "(?i)access denied|captcha|just a moment|attention required"
+#: Fixed value: metadata are read from so many characters of a page; its article blocks from all of it.
+PAGE_CHARS = 1_000_000
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = T.StructType([T.StructField(n, T.StringType()) for n in ("node_title", "node_description", "node_date", "author", "author_url", "publisher", "publisher_url", "meta", "title", "canonical", "excerpt")])
 
@@ -113,7 +115,7 @@ def _text(value, most: int = 300) -> str | None:
 def _read(page: str | None) -> tuple:
     reader = _Reader()
     try:
-        reader.feed((page or "")[:1_000_000])
+        reader.feed((page or "")[:PAGE_CHARS])
         reader.close()
     except (AssertionError, ValueError):
         pass
@@ -149,7 +151,7 @@ def metadata(rows: DataFrame, page: str, url: str) -> DataFrame:
     """Adds title, description, author, author_url, publisher, publisher_url, site_name, uploader_name, uploader_profile, published_at, canonical_url, context_excerpt and challenge.
 
     Structured data come before meta tags, and those before the page's title. Links are made whole by the page's own;
-    such as aren't public are left out. A page whose title asks for a human (`challenge`) tells nothing.
+    such as aren't public are left out. Of a page PAGE_CHARS characters are read. A page whose title asks for a human (`challenge`) tells nothing.
     """
     p = rows.withColumn("__p", _parsed(F.col(page))).withColumn("__m", F.from_json("__p.meta", "map<string,string>"))
     m, base = F.col("__m"), F.col(url)
