@@ -73,7 +73,8 @@ class TreeJoin:
 
     def signed(self, rows: DataFrame, on: str = "cid", sig: str = "sig") -> DataFrame:
         """The rows with the signature of the class that column `on` names."""
-        return sized_join(rows, self.sigs.select(F.col("cid").alias(on), F.col("sig").alias(sig)), on, "inner", self.many, self.small)
+        # A signature counts as several narrow rows.
+        return sized_join(rows, self.sigs.select(F.col("cid").alias(on), F.col("sig").alias(sig)), on, "inner", self.many, self.small // 2)
 
     def verify(self, edges: DataFrame) -> DataFrame:
         """The links (a, b) among the edges, as a kept table."""

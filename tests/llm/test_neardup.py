@@ -61,3 +61,38 @@ def test_equals_brute_force(spark, seed, options):
 
 def test_empty_table(spark):
     assert near_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_signatures_let_links_pass_and_hold_back_most_of_what_is_less_alike():
+    import numpy as np
+
+    from factloom.llm.neardup import Alike, _signature, minwise
+
+    rnd = np.random.default_rng(5)
+    alike = Alike(75)
+    for size in (6, 40, 150, 2000, 30_000):
+        passed = {}
+        for similarity in (0.6, 0.75, 0.8):
+            pairs = []
+            for _ in range(60 if size < 10_000 else 8):
+                both = -int(-2 * size * similarity // (1 + similarity))  # the least number shared for this similarity
+                words = rnd.integers(0, 1 << 63, 2 * size, dtype=np.int64).astype(np.uint64)
+                sets = [words[:size], words[size - both : 2 * size - both]]
+                pairs.append([np.frombuffer(_signature(s, minwise(s)), np.uint8) for s in map(np.unique, sets)])
+            passed[similarity] = alike(*(np.array([p[i] for p in pairs]) for i in (0, 1))).mean()
+        assert passed[0.75] == passed[0.8] == 1
+        assert size != 150 or passed[0.6] < 0.1
+
+
+def test_recall_of_twelve_trees_just_above_the_threshold(spark):
+    rnd = random.Random(12)
+    rows, pairs = [], 0
+    for k in range(600):
+        base = [f"v{rnd.randrange(10**7)}" for _ in range(rnd.randrange(60, 120))]
+        n = len(base) - 4  # shingles; c of them change with the last c words
+        c = max(c for c in range(1, n) if 100 * (n - c) >= 75 * (n + c))
+        pairs += 1
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[: len(base) - c], *(f"u{rnd.randrange(10**7)}" for _ in range(c))]))]
+    got = near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = got.filter("component_id % 2 = 0 AND doc_id % 2 = 1 AND component_id = doc_id - 1").count()
+    assert found >= 0.995 * pairs, f"{found} of {pairs} pairs found"
