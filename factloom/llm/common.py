@@ -73,6 +73,18 @@ class Scratch:
             place = jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
+    def held(self) -> list[DataFrame]:
+        """The tables that haven't been dropped."""
+        return [df for df in getattr(self, "_held", []) if id(df) in self.paths]
+
+    def only(self, *tables: DataFrame) -> None:
+        """Deletes all tables but these, which are all that results still read."""
+        held = {id(df) for df in tables}
+        jvm = self.spark.sparkContext._jvm
+        for key in [k for k in self.paths if k not in held]:
+            place = jvm.org.apache.hadoop.fs.Path(self.paths.pop(key))
+            place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
     def close(self) -> None:
         """Deletes all tables, once nothing reads them any more."""
         place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
