@@ -53,6 +53,22 @@ def test_similar_sets_equal_all_pairs(spark, kind):
         assert sorted((r.a, r.b, round(r.similarity, 9)) for r in got) == sorted(expected)
 
 
+@pytest.mark.parametrize("kind", ["jaccard", "containment"])
+def test_similar_sets_meet_across_blocks_without_shuffled_pairs(spark, kind):
+    import random
+
+    rnd = random.Random(5)
+    base = [{f"w{int(rnd.paretovariate(0.5)) % 300}" for _ in range(rnd.randrange(1, 60))} for _ in range(12)]
+    sets = [(i, sorted({w for w in rnd.choice(base) if rnd.random() < 0.8} | {f"x{rnd.randrange(40)}"})) for i in range(150)]
+    share = lambda a, b: len(a & b) / (len(a | b) if kind == "jaccard" else min(len(a), len(b)))
+    expected = [(i, j, round(share(set(a), set(b)), 9)) for i, a in sets for j, b in sets if i < j and share(set(a), set(b)) >= 0.6]
+    df = matching.similar_sets(spark.createDataFrame(sets, "i long, w array<string>"), "i", "w", 0.6, kind, block=100)
+    assert sorted((r.a, r.b, round(r.similarity, 9)) for r in df.collect()) == sorted(expected) and len(expected) > 500
+    # Only the sets' blocks meet in the plan: there is no join of pairs.
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" in plan and "Join" not in plan
+
+
 def test_vectors_without_length_take_no_part(spark):
     rows = [("a", 1, [1.0, 0.0], 3), ("a", 2, [0.0, 1.0], 5), ("b", 1, [1.0, 0.0], 3), ("c", 1, [0.0, 0.0], 3), ("d", 1, [float("nan"), 1.0], 3)]
     df = spark.createDataFrame(rows, "g string, f int, v array<float>, h long")
