@@ -107,8 +107,10 @@ def _entity(value) -> tuple[str | None, str | None]:
     return None, None
 
 
-def _text(value, most: int = 300) -> str | None:
-    plain = " ".join(re.sub("<[^>]+>", " ", html.unescape(str(value if value is not None else ""))).split())
+def _text(value, most: int = 300, *, read: bool = False) -> str | None:
+    """Cleaned and cut. What a parser has read holds no character references any more."""
+    told = str(value if value is not None else "")
+    plain = " ".join(re.sub("<[^>]+>", " ", told if read else html.unescape(told)).split())
     return plain[:most] or None
 
 
@@ -132,7 +134,7 @@ def _read(page: str | None) -> tuple:
     date = first("uploadDate", "datePublished")
     meta = json.dumps({f"{k}\n{n}": v for (k, n), v in reader.meta.items()}, ensure_ascii=False)
     body = reader.text["article"] or reader.text["main"]
-    return (_text(first("headline", "name"), 1000), _text(first("description"), 10000), None if date is None else str(date), *names, meta, _text(" ".join(reader.title), 1000), reader.canonical, " ".join(" ".join(body).split())[:1200] or None)
+    return (_text(first("headline", "name"), 1000), _text(first("description"), 10000), None if date is None else str(date), *names, meta, _text(" ".join(reader.title), 1000, read=True), reader.canonical, " ".join(" ".join(body).split())[:1200] or None)
 
 
 @F.pandas_udf(RAW)
@@ -140,6 +142,15 @@ def _parsed(pages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_read(x) for x in pages], columns=RAW.names, dtype=object)
 
 
+def whole_references(page: Column) -> Column:
+    """The page with every ampersand written out that begins no character reference ending in a semicolon.
+
+    HTML reads `&amp` without one as a reference too, so a text that was escaped and then cut would end in another
+    character than was written. Not for pages with scripts: what these hold isn't decoded.
+    """
+    return F.regexp_replace(page, r"&(?!(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);)", "&amp;")
+
+
 def _meta(found: Column, *names: str) -> Column:
     """The first meta tag of these names, whichever attribute names it, cleaned."""
     every = [F.try_element_at(found, F.lit(f"{key}\n{name}")) for name in names for key in ("property", "name", "itemprop")]

@@ -40,3 +40,16 @@ def test_lenient_answers():
     assert pages._answer('x {"a": "b\nc"} y') == {"a": "b\nc"}
     assert pages._answer("{'a': (1, None)}") == {"a": (1, None)}
     assert pages._answer("]nothing[") is None and pages._answer("") is None
+
+
+def test_page_queries_read_whole_references_only(spark, tmp_path):
+    import hashlib
+
+    from __spark_entry__ import queries
+
+    told = "<title>A &amp; B &amp</title><article><h1>A &lt;b&gt; &amp</h1><p>Cut &#x2</p><p>one &quot;two&quot; &am</p></article>"
+    spark.createDataFrame([(5, "https://a.example/p", told)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    run = lambda name: queries()[name](spark, str(tmp_path)).collect()[0]
+    assert run("page_excerpts").excerpt == 'A <b> &amp Cut &#x2 one "two" &am'
+    assert run("page_metadata").title == "A & B &amp"
+    assert run("page_articles").text_sha256 == hashlib.sha256(b'A <b> &amp Cut &#x2 one "two" &am').hexdigest()
