@@ -34,6 +34,15 @@ def test_phrases_of_four_words_and_cut_words(spark):
     assert sorted(map(tuple, matching.phrase_hits(phrases, texts).collect())) == [(1, 1), (2, 2), (3, 2), (4, 4)]
 
 
+def test_repeated_runs_of_a_text_are_not_dealt_out_before_they_meet_a_phrase(spark):
+    phrases = spark.createDataFrame([(1, "x a b c d y"), (2, "p a b c d q")], "item_id long, phrase string")
+    texts = spark.createDataFrame([(1, "x a b c d y a b c d y a b c d"), (2, "no a b c d")], "doc_id long, body string")
+    found = matching.phrase_hits(phrases, texts)
+    assert [tuple(r) for r in found.collect()] == [(1, 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "[doc_id" not in "".join(x for x in plan.splitlines() if "Aggregate [" in x and "run" in x)
+
+
 @pytest.mark.parametrize("kind", ["jaccard", "containment"])
 def test_similar_sets_equal_all_pairs(spark, kind):
     import random
