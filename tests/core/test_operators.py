@@ -43,6 +43,18 @@ def test_repeated_runs_of_a_text_are_not_dealt_out_before_they_meet_a_phrase(spa
     assert "[doc_id" not in "".join(x for x in plan.splitlines() if "Aggregate [" in x and "run" in x)
 
 
+def test_nearest_vectors_in_few_blocks_as_tables_grow(spark):
+    assert [matching._blocks(n, 2048) for n in (0, 1, 2048, 4096, 30_000, 500_000, 1_000_000)] == [1, 1, 1, 2, 15, 16, 31]
+    import numpy as np
+
+    v = np.random.default_rng(1).normal(size=(90, 5)).round(1)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    s = np.round(v @ v.T, 9)
+    expected = {(i, j, r + 1) for i in range(90) for r, j in enumerate(sorted((j for j in range(90) if j != i), key=lambda j: (-s[i, j], j))[:3])}
+    means = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "g long, mean array<double>")
+    assert {(r.g, r.other, r.rank) for r in matching.nearest(means, "g", 3, block=4).collect()} == expected
+
+
 @pytest.mark.parametrize("kind", ["jaccard", "containment"])
 def test_similar_sets_equal_all_pairs(spark, kind):
     import random
