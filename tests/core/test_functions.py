@@ -92,3 +92,10 @@ def test_hamming_blocks_lose_nothing(spark):
     df = spark.createDataFrame(items, "id long, h long")
     expected = sorted((a, b, bin((x ^ y) & (1 << 64) - 1).count("1")) for a, x in items for b, y in items if a < b and bin((x ^ y) & (1 << 64) - 1).count("1") <= 12)
     assert sorted(tuple(r) for r in matching.hamming_pairs(df, 12).collect()) == expected
+
+
+def test_only_texts_with_marks_of_a_range_are_searched_for_sides(spark):
+    texts = ["2020-01-02", "2020-1", "2020-2021", "May 2020 - June 2020", "5 MAY 2020 UNTIL 6 may 2020", "between May 1 and May 3, 2020", "May 1–3, 2020", "5 May 2020", "2020-01-02 - 2020-01-05"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    sides = [r.s for r in df.orderBy("i").select(dates._sides(dates.cleaned(F.col("t"))).alias("s")).collect()]
+    assert [len(s) for s in sides] == [1, 1, 3, 3, 3, 3, 3, 1, 3] and all(s[1] and s[2] for s in sides if len(s) == 3)
