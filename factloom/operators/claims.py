@@ -129,21 +129,30 @@ def relinked(links: DataFrame, added: DataFrame, dropped: DataFrame | None = Non
     return links.select(*KEY, "evidence_id").union(added.select(*KEY, "evidence_id")).distinct()
 
 
-def with_evidence(state: State, found: DataFrame, gone: list[str] | None = None) -> State:
+def _written(text: Column) -> Column:
+    """How a missing text is written in an identity."""
+    return F.coalesce(text, F.lit("None"))
+
+
+def _identity(kind: Column, source: Column, observation: Column, model: Column) -> Column:
+    return ev.labelled_identity(kind, _written(source), _written(observation), model)
+
+
+def with_evidence(state: State, found: DataFrame, gone: list[str] | None = None, also: DataFrame | None = None) -> State:
     """The state with more evidence (claim_id, type, source, observation, fields, optional model), linked with its fields.
 
-    Evidence of the types in `gone` goes first, with its links. Evidence that is there already stays as it is.
+    Evidence of the types in `gone` goes first, with its links. Evidence that is there already stays as it is. also: more
+    links, which are added with those of the new evidence.
     """
     held, links = state.evidence, state.links
     for kind in gone or []:
         held, links = ev.without_type(held, links, kind)
-    text = lambda c: F.coalesce(F.col(c), F.lit("None"))  # noqa: E731  that is how a missing text is written in an identity
     model = F.col("model") if "model" in found.columns else F.lit(None).cast("string")
-    named = found.withColumn("evidence_id", ev.labelled_identity(F.col("type"), text("source"), text("observation"), model)).withColumn("source", text("source"))
+    named = found.withColumn("evidence_id", _identity(F.col("type"), F.col("source"), F.col("observation"), model)).withColumn("source", _written(F.col("source")))
     new = named.groupBy("claim_id", "evidence_id").agg(F.min(F.struct("type", "source", "observation")).alias("x")).select("claim_id", "evidence_id", "x.type", "x.source", "x.observation")
     fresh = new.join(held.select("claim_id", "evidence_id"), ["claim_id", "evidence_id"], "left_anti")
     more = named.select("claim_id", F.explode("fields").alias("field"), "evidence_id")
-    return State(state.values, held.select(new.columns).union(fresh), relinked(links, more))
+    return State(state.values, held.select(new.columns).union(fresh), relinked(links, more if also is None else more.union(also.select(more.columns))))
 
 
 def _of(kind: str, source: Column, observation: Column, *fields: str) -> Column:
@@ -176,14 +185,14 @@ def bootstrap(state: State, records: DataFrame, force: bool = False) -> State:
     video_description, video_transcript, references (array of text and refs). The earliest known place brings its date
     and the status unknown along. A publisher's own platform names the source whatever was known.
     """
-    day = plain_date(F.col("video_date"))
+    # The day is a column of its own, as two of the fields need it.
+    records, day = official_source(records).withColumn("day", plain_date(F.col("video_date"))), F.col("day")
     own = {
         "motivation.claimed_framing": F.col("claim"), "date.video_upload_date": day, "provenance.earliest_known_url": F.col("video_url"), "provenance.earliest_known_date": day,
         _STATUS: F.lit("unknown"), "motivation.original_caption": F.col("video_headline"), "motivation.original_description": F.col("video_description"),
     }
     mode, lead = "force" if force else "fill", "provenance.earliest_known_url"
     rules = {f: Rule(mode, lead if not force and f in ("provenance.earliest_known_date", _STATUS) else None) for f in own}
-    records = official_source(records)
     named = {"source.uploader_name": F.col("official"), _NAME: F.col("official"), _KIND: F.lit("news outlet"), _SAME: F.lit("true")}
     merged = merge(state.values, stacked(records, own).union(stacked(records, named, F.col("official").isNotNull())), rules | {f: Rule("force") for f in named})
     file, said = F.col("source_file"), F.col("video_transcript")
@@ -195,11 +204,16 @@ def bootstrap(state: State, records: DataFrame, force: bool = False) -> State:
         F.when(F.coalesce(F.trim(said), F.lit("")) != "", _of("dataset_transcript", file, trimmed(said, 2000))),
     )
     cited = records.select("claim_id", "url", F.explode("references").alias("r")).select("claim_id", F.struct(F.lit("fact_check_evidence").alias("type"), F.coalesce(F.get("r.refs", 0), "url").alias("source"), trimmed(F.col("r.text"), 2000).alias("observation"), F.array().cast("array<string>").alias("fields")).alias("x")).select("claim_id", "x.*")
-    found = with_evidence(State(merged.select(*KEY, "value"), state.evidence, state.links), fixed.union(cited), ["asr_transcript"])
-    metadata = found.evidence.filter("type = 'dataset_video_metadata'").select("claim_id", "evidence_id")
-    moved = merged.filter((F.col("field") == _STATUS) & F.col("decision").isin("filled", "replaced", "same")).select(*KEY)
+    # The status is merged by itself, and the record's own evidence named, so that links don't take all values and evidence along.
+    few = [lead, _STATUS]
+    status = merge(state.values.filter(F.col("field").isin(few)), stacked(records, {f: own[f] for f in few}), {f: rules[f] for f in few})
+    moved = status.filter((F.col("field") == _STATUS) & F.col("decision").isin("filled", "replaced", "same")).select(*KEY)
     names = stacked(records, named, F.col("official").isNotNull()).select(*KEY)
-    return found._replace(links=relinked(found.links, moved.union(names).join(metadata, "claim_id")))
+    kind = "dataset_video_metadata"
+    its_own = records.select("claim_id", _identity(F.lit(kind), file, F.lit(RECORD_METADATA), F.lit(None).cast("string")).alias("evidence_id")).distinct()
+    held = state.evidence.filter(F.col("type") == kind).select("claim_id", "evidence_id")
+    metadata = held.union(its_own.join(state.evidence.select("claim_id", "evidence_id"), ["claim_id", "evidence_id"], "left_anti"))
+    return with_evidence(State(merged.select(*KEY, "value"), state.evidence, state.links), fixed.union(cited), ["asr_transcript"], moved.union(names).join(metadata, "claim_id").select(*KEY, "evidence_id"))
 
 
 #: Fields that a new reading of the texts starts from nothing, and the types of evidence that vouch for a name of a source.

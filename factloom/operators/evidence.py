@@ -12,14 +12,17 @@ from ..functions.text import normalised
 DECISIVE = ["retrieved_page", "platform_metadata", "archive_record", "geocoder_result"]
 
 
+#: Characters that a JSON string literal spells in another way.
+ESCAPES = {"\\": "\\\\", '"': '\\"', **{chr(c): {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}.get(c, f"\\u{c:04x}") for c in range(32)}}
+
+
 def _quoted(text: Column) -> Column:
     """A JSON string literal, non-ASCII characters kept, control characters escaped."""
-    t = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    plain = t
-    for code in range(32):
-        short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}.get(code, f"\\u{code:04x}")
-        t = F.replace(t, F.lit(chr(code)), F.lit(short))
-    return F.concat(F.lit('"'), F.when(text.rlike(r"[\x00-\x1f]"), t).otherwise(plain), F.lit('"'))
+    plain = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    # Texts with control characters are spelt out; a chain of replacements would be too long for compiled code.
+    table = F.create_map(*(F.lit(x) for p in ESCAPES.items() for x in p))
+    spelt = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return F.concat(F.lit('"'), F.when(text.rlike(r"[\x00-\x1f]"), spelt).otherwise(plain), F.lit('"'))
 
 
 def identity(source: Column, text: Column) -> Column:
