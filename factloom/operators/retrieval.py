@@ -32,9 +32,11 @@ def decisions(requests: DataFrame, budgets: dict[str, int] | None = None) -> Dat
     """
     budgets = budgets or BUDGETS
     limit = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in budgets.items() for x in p)), F.col("purpose")), F.lit(0))
-    url = F.coalesce("url", F.lit(""))
+    # A link is read once, however many requests name it; rows without one have no key.
+    url = F.col("url")
     open_ = F.coalesce(urls.is_public(url), F.lit(False)) & ~F.coalesce(urls.is_factcheck(url), F.lit(True))
-    rows = requests.withColumn("key", F.when(open_, urls.retrieval_key(url)))
+    keys = requests.filter("url IS NOT NULL").select("url").distinct().select("url", F.when(open_, urls.retrieval_key(url)).alias("key"))
+    rows = requests.join(keys, "url", "left")
     firsts = rows.filter("key IS NOT NULL").groupBy("claim_id", "purpose", "key").agg(F.min("seq").alias("seq"))
     order = Window.partitionBy("claim_id", "purpose").orderBy("seq")
     able = firsts.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sum(budgets.values())).withColumn("most", limit)
