@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sources, text
+from ..functions.urls import let
 from .entities import address_value
 from .rules import place_is_plausible
 
@@ -51,14 +52,19 @@ def vision_lists(found: Column) -> dict[str, Column]:
     """
     key = lambda k: F.regexp_replace(F.lower(k), "[^a-z0-9]", "")
     fixed = lambda k: F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in MISSPELT.items() for x in pair)), key(k)), key(k))
-    at = lambda name: F.flatten(F.transform(F.filter(F.map_entries(found), lambda e: fixed(e["key"]) == name), lambda e: F.coalesce(e["value"], F.array().cast("array<string>"))))
-    tidy = lambda items: F.slice(F.array_distinct(F.filter(F.transform(items, lambda x: text.trimmed(x, 300)), lambda x: (x != "") & ~F.lower(x).isin(PLACEHOLDERS))), 1, 3)
-    scene = text.trimmed(F.array_join(at("scenesummary"), " "), 500)
-    scene = F.when(F.lower(scene).isin(EMPTY_SCENES) | F.lower(scene).contains("no additional information provided"), "").otherwise(scene)
-    out = {"scene_summary": scene, **{name: tidy(at(k)) for name, k in LISTS.items()}}
-    told = F.lower(F.concat_ws(" ", out["scene_summary"], out["ocr_text"], out["landmarks"], out["signs_and_logos"]))
-    places = F.transform(at("candidatelocations"), lambda x: text.trimmed(x, 200))
-    out["candidate_locations"] = F.slice(F.array_distinct(F.filter(places, lambda x: F.coalesce(place_is_plausible(x), F.lit(False)) & F.contains(told, F.lower(x)))), 1, 3)
+    # Keys are read once for each of the results, and what the places are held against once for all places.
+    entries = F.transform(F.map_entries(found), lambda e: F.struct(fixed(e["key"]).alias("key"), e["value"].alias("value")))
+    at = lambda of, name: F.flatten(F.transform(F.filter(of, lambda e: e["key"] == name), lambda e: F.coalesce(e["value"], F.array().cast("array<string>"))))
+    short = lambda x, n: let(text.stripped(x), lambda t: text.cut(t, n))
+    tidy = lambda items: F.slice(F.array_distinct(F.filter(F.transform(items, lambda x: short(x, 300)), lambda x: (x != "") & ~F.lower(x).isin(PLACEHOLDERS))), 1, 3)
+    of_list = lambda k: lambda of: tidy(at(of, k))
+    empty = lambda v: F.lower(v).isin(EMPTY_SCENES) | F.lower(v).contains("no additional information provided")
+    scene = lambda of: let(short(F.array_join(at(of, "scenesummary"), " "), 500), lambda v: F.when(empty(v), "").otherwise(v))
+    out = {"scene_summary": let(entries, scene), **{name: let(entries, of_list(k)) for name, k in LISTS.items()}}
+    told = lambda of: F.lower(F.concat_ws(" ", scene(of), *(tidy(at(of, LISTS[x])) for x in ("ocr_text", "landmarks", "signs_and_logos"))))
+    places = lambda of: F.transform(at(of, "candidatelocations"), lambda x: short(x, 200))
+    named = lambda of: let(told(of), lambda said: F.slice(F.array_distinct(F.filter(places(of), lambda x: F.contains(said, F.lower(x)) & F.coalesce(place_is_plausible(x), F.lit(False)))), 1, 3))
+    out["candidate_locations"] = let(entries, named)
     return out
 
 
