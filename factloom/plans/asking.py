@@ -81,17 +81,23 @@ def batch_outcomes(spark, d):
     return done.select("claim_id", "status", "verdict", F.array_join("errors", "; ").alias("error"))
 
 
-# A recogniser of names of seven letters or more at the ends of sentences, over the documents' chunks.
+# A recogniser of all names of seven letters or more, over the documents' chunks.
 
 
-@query(r"""WITH c AS (SELECT doc_id, unnest(range(0, length(text), 750)) AS spot, text FROM (SELECT doc_id, regexp_replace(text, '^[\s]+|[\s]+$', '', 'g') AS text FROM documents)), p AS (SELECT doc_id, spot, substr(text, spot + 1, 800) AS piece FROM c),
-f AS (SELECT *, regexp_extract(piece, '(?:^|[^\p{L}\p{N}_])([A-Z][a-z]{6,})(?:$|[^\p{L}\p{N}_])', 1) AS name FROM p)
-SELECT DISTINCT doc_id, name, CAST(spot + length(regexp_extract(piece, '(?s)^(.*?)(?:^|[^\p{L}\p{N}_])[A-Z][a-z]{6,}(?:$|[^\p{L}\p{N}_])', 1)) + CASE WHEN regexp_matches(piece, '^[A-Z][a-z]{6,}(?:$|[^\p{L}\p{N}_])') THEN 0 ELSE 1 END AS BIGINT) AS start FROM f WHERE name <> ''""")
+@query(r"""WITH c AS (SELECT doc_id, unnest(range(0, length(text), 750)) AS spot, text FROM (SELECT doc_id, regexp_replace(text, '^[\s]+|[\s]+$', '', 'g') AS text FROM documents)), p AS (SELECT doc_id, spot, string_split_regex(substr(text, spot + 1, 800), '[^\p{L}\p{N}_]') AS w FROM c),
+f AS (SELECT doc_id, spot, w, unnest(w) AS name, unnest(range(1, len(w) + 1)) AS k FROM p)
+SELECT DISTINCT doc_id, name, CAST(spot + coalesce(list_sum(list_transform(w[1:k - 1], lambda x: length(x) + 1)), 0) AS BIGINT) AS start FROM f WHERE regexp_full_match(name, '[A-Z][a-z]{6,}')""")
 def place_mentions(spark, d):
     texts = read(spark, d, "documents").select("doc_id", text.stripped(F.col("text")).alias("text")).filter("text <> ''")
     chunks = mentions.chunked(texts)
-    pattern = r"(?:^|[^\p{L}\p{N}_])([A-Z][a-z]{6,})(?:$|[^\p{L}\p{N}_])"
-    name = F.regexp_extract("piece", pattern, 1)
-    first = F.regexp_instr("piece", F.lit(pattern)) - F.when(F.col("piece").rlike(r"^[A-Z][a-z]{6,}(?:$|[^\p{L}\p{N}_])"), 1).otherwise(0)
-    found = chunks.select("piece").distinct().select("piece", F.lit("LOC").alias("kind"), F.lit(0.9).alias("score"), name.alias("word"), first.cast("int").alias("start"), (first + F.char_length(name)).cast("int").alias("end")).filter("word <> ''")
-    return mentions.mentions(chunks, found, "doc_id").select("doc_id", "name", F.col("start").cast("long").alias("start"))
+    return mentions.mentions(chunks, _names(chunks.select("piece").distinct()), "doc_id").select("doc_id", "name", F.col("start").cast("long").alias("start"))
+
+
+def _names(pieces):
+    """Each name of a piece with its span. What lies between the names comes along with them, so that lengths add up to places."""
+    pattern = F.lit(r"(?s)\G(.*?)(?<![\p{L}\p{N}_])([A-Z][a-z]{6,})(?![\p{L}\p{N}_])")
+    both = pieces.select("piece", F.regexp_extract_all("piece", pattern, F.lit(1)).alias("gaps"), F.regexp_extract_all("piece", pattern, F.lit(2)).alias("names"))
+    met = both.select("piece", "gaps", "names", F.posexplode("names").alias("k", "word"))
+    long = lambda words: F.char_length(F.array_join(words, ""))
+    end = long(F.slice("gaps", F.lit(1), F.col("k") + 1)) + long(F.slice("names", F.lit(1), F.col("k") + 1))
+    return met.select("piece", F.lit("LOC").alias("kind"), F.lit(0.9).alias("score"), "word", (end - F.char_length("word")).alias("start"), end.alias("end"))

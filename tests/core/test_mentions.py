@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text
 from factloom.operators import mentions
+from factloom.plans import asking, registry
 
 FOUND = "piece string, kind string, score double, word string, start int, end int"
 
@@ -54,3 +55,20 @@ def test_a_sentence_asserts_as_its_text_does(spark):
     rows = [("The rally took place. It was filmed in Lima.", "Lima"), ("Lima is far.", "Lima"), ("Nothing here", "Lima"), ("We report live from Old Goa now", "Old Goa")]
     got = spark.createDataFrame(rows, "t string, n string").select(text.is_asserted(F.col("t"), F.col("n"))).collect()
     assert [r[0] for r in got] == [True, False, False, True]
+
+
+def test_all_names_of_a_chunk_are_mentions(spark, tmp_path):
+    """Also those that share the space between them, are repeated, stand behind letters beyond ASCII or are cut by a chunk's end."""
+    import duckdb
+
+    body = "Alexandria Bratislava, é雨 Alexandria. xDamascus Kathmandu_ Islamabad1 Reykjavík\nMontevideo" + " y" * 340 + " Wellington " + "z" * 30 + " Casablanca"
+    rows = [(1, body), (2, "Samarkand"), (3, " lower only "), (4, None), (5, "  Samarkand Samarkand")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, asking.place_mentions(spark, str(tmp_path)).collect()))
+    assert [(d, n, s) for d, n, s in got if d != 1] == [(2, "Samarkand", 0), (5, "Samarkand", 0), (5, "Samarkand", 10)]
+    first = [(n, s) for d, n, s in got if d == 1]
+    assert {n for n, _ in first} >= {"Alexandria", "Bratislava", "Montevideo", "Wellington", "Casablanca"} and len(first) >= 6
+    assert all(body[s : s + len(n)] == n for n, s in first) and not {"Damascus", "Kathmandu", "Islamabad"} & {n for n, _ in first}
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(db.execute(registry.ORACLES["place_mentions"]).fetchall()) == got
